@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import chat, mixing, quality
-from turnwise.llm.common import read
+import public_tokenizers
+
+from turnwise.llm import binary, bpe, chat, mixing, quality, token_counts
+from turnwise.llm.common import fresh_path, read
+
+
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    binary.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return binary.read_back(spark, path)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +30,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the cache begins empty here, so that every run does the whole work
+    cache = fresh_path(spark, "count-cache")
+    return token_counts.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_binary": op1_token_binary,
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
