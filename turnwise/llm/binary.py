@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import fresh_path, remove, text_of, written
-from turnwise.llm.encoder import END_ID, encoder, slices
+from turnwise.llm.encoder import END_ID, encoder, id_type, slices
 
 BLOCK_IDS = 1 << 20
 BLOCK_SCHEMA = "shard int, block int, start_in_shard long, n_ids long, doc_ids array<long>, lens array<long>, control binary, data binary"
@@ -33,25 +33,30 @@ LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit integers."""
     v = values.astype("<u4")
-    n = (1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)).astype(np.uint8)
+    n = (v > 0xFF).view(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     quads = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    quads[: len(v)] = n - 1
+    quads[: len(v)] = n
     q = quads.reshape(-1, 4)
     control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    used = np.arange(4) < n[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    width = int(n.max(initial=0)) + 1
+    used = np.arange(width, dtype=np.uint8) <= n[:, None]
+    return control.tobytes(), np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4)[:, :width])[used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     n = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    out = np.zeros((count, 4), np.uint8)
-    out[np.arange(4) < n[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    width = int(n.max(initial=1))
+    part = np.zeros((count, width), np.uint8)
+    part[np.arange(width, dtype=np.uint8) < n[:, None]] = np.frombuffer(data, np.uint8)
+    out = part[:, 0].astype("<u4")
+    for k in range(1, width):
+        out |= part[:, k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (bytes of unsigned 32-bit integers, the end id last)."""
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    """doc_id, ids (bytes of unsigned integers of the tokenizer's id_type, the end id last)."""
+    end = np.array([END_ID], dtype=id_type(tokenizer)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -65,18 +70,15 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(ids: DataFrame) -> np.ndarray:
+def frequencies(ids: DataFrame, kind: str) -> np.ndarray:
     """Ids from the most frequent to the least. The table has one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                v = np.frombuffer(x.as_py(), "<u4")
-                c = np.bincount(v, minlength=len(total)) if len(v) else total[:0]
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=len(total))
+            c[: len(total)] += total
+            total = c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -89,7 +91,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     work = fresh_path(spark, "ids")
     encoded(docs, tokenizer).write.option("compression", "zstd").parquet(work)
     ids = spark.read.schema("doc_id long, ids binary").parquet(work)
-    by_rank = frequencies(ids)
+    kind = id_type(tokenizer)
+    by_rank = frequencies(ids, kind)
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))
     held = spark.sparkContext.broadcast(ranks)  # as long as the vocabulary
@@ -116,7 +119,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1)):
-                v = np.frombuffer(x.as_buffer(), "<u4")
+                v = np.frombuffer(x.as_buffer(), kind)
                 if parts and size + len(v) > BLOCK_IDS:
                     yield flush()
                 doc_ids.append(d)

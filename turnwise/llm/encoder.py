@@ -1,33 +1,30 @@
 """Encoding in executors' Python workers by the tokenizers library, with each piece encoded once.
 
-A byte-level tokenizer whose pattern attaches at most one leading space to a piece never joins what
-stands before a single space between two characters that are not white space with what follows.
-``split_at_spaces`` cuts texts at those places only; the library encodes every distinct cut (its
-pattern, special tokens and merges included), and a bounded memo of the worker keeps the ids.
-``tests/llm`` compare this with the library on whole texts.
+A byte-level tokenizer cuts a text by its pattern and merges within the pieces only, so a text's ids are
+those of its pieces, one after the other. ``PieceEncoder`` keeps the ids of pieces in a bounded memo of
+the worker and hands only new ones to the library, most of them joined to one long text whose ids are
+cut up again by the lengths of their bytes. Texts that hold a special token or a character beyond
+Latin-1 (where Unicode tables of two libraries might differ) go to the library as a whole, as do all
+texts if the tokenizer is built in another way. ``tests/llm`` compare both ways on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
+import numpy as np
+import regex
+
 END_ID = 2
-_TWO_SPACES = re.compile(r"\s\s")
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
-def split_at_spaces(text: str) -> list[str]:
-    """Cuts of a text; each but the first stands for itself with one space in front."""
-    if text and not text[0].isspace() and not text[-1].isspace() and not _TWO_SPACES.search(text):
-        return text.split(" ")
-    return _SINGLE.split(text)
-
-
 class PieceEncoder:
-    MEMO = 400_000  # pieces
-    LONG = 64  # longer pieces are encoded but not kept
+    MEMO = 600_000  # pieces
+    LONG = 64  # characters; longer pieces are encoded but not kept
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,37 +33,81 @@ class PieceEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _fill(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        import numpy as np
-
-        new = [p for p in pieces if p not in memo]
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.lib.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                (memo if len(p) <= self.LONG else extra)[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return extra
+        size = self.lib.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        special = [re.escape(x["content"]) for x in made.get("added_tokens", [])]
+        self.special = re.compile("|".join(special)).search if special else lambda text: None
+        cut = made.get("pre_tokenizer") or {}
+        self.by_piece = (
+            made.get("normalizer") is None
+            and cut.get("type") == "ByteLevel"
+            and not cut.get("add_prefix_space")
+            and cut.get("use_regex", True)
+            and made["model"]["type"] == "BPE"
+            and not any(made["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        self.find = regex.compile(PATTERN).findall
+        self.joins = regex.compile(r" \p{L}+").fullmatch
+        self.n_bytes = np.zeros(size, np.int64)  # each character of a byte-level token is a byte
+        for token, i in made["model"]["vocab"].items() if self.by_piece else ():
+            self.n_bytes[i] = len(token)
+        self.memo: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        plain, other = [], []
+        for p in pieces:
+            (plain if self.joins(p) else other).append(p)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.lib.encode("".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            raw, width, begin = ids.tobytes(), self.dtype.itemsize, 0
+            for p, end in zip(part, (ends * width).tolist()):
+                out[p] = raw[begin:end]
+                begin = end
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            out.update(zip(part, self._whole(part)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.later) > self.MEMO:
-            self.later.clear()
-        if len(self.first) > self.MEMO:
-            self.first.clear()
-        cuts = [split_at_spaces(t) for t in texts]
-        first, later = set(), set()
-        for c in cuts:
-            first.add(c[0])
-            later.update(c[1:])
-        x, y = self._fill(self.first, first, ""), self._fill(self.later, later, " ")
-        if x or y:
-            get1, get2 = lambda p: self.first.get(p) or x.get(p, b""), lambda p: self.later.get(p) or y.get(p, b"")
-        else:
-            get1, get2 = self.first.__getitem__, self.later.__getitem__
-        return [get1(c[0]) + b"".join(map(get2, c[1:])) for c in cuts]
+        """Ids of each text, in bytes of self.dtype."""
+        out: list = [None] * len(texts)
+        easy: list[int] = []
+        for i, t in enumerate(texts):
+            if self.by_piece and not self.special(t):
+                try:
+                    t.encode("latin-1")
+                    easy.append(i)
+                except UnicodeEncodeError:
+                    pass
+        easy_set = set(easy)
+        hard = [i for i in range(len(texts)) if i not in easy_set]
+        for i, ids in zip(hard, self._whole([texts[i] for i in hard])):
+            out[i] = ids
+        pieces = [self.find(texts[i]) for i in easy]
+        memo = self.memo
+        if len(memo) > self.MEMO:
+            memo.clear()
+        new = self._learn(list(set().union(*pieces).difference(memo)))
+        if new:
+            longer = {p: ids for p, ids in new.items() if len(p) > self.LONG}
+            for p in longer:
+                del new[p]
+            memo.update(new)
+            if longer:
+                memo = {**memo, **longer}
+        get = memo.__getitem__
+        for i, p in zip(easy, pieces):
+            out[i] = b"".join(map(get, p))
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -76,6 +117,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def id_type(path: str) -> str:
+    """The numpy type of ids in bytes, by the size of the vocabulary."""
+    return encoder(path).dtype.str
+
+
 def slices(texts: list[str], most: int = 4_000_000):
     """Index ranges of about that many characters, so that working memory stays bounded."""
     start = size = 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from turnwise.llm import binary, bpe, chat, mixing, quality, token_counts
+from turnwise.llm import binary, bpe, chat, embedding_dedup, mixing, near_dedup, quality, token_counts
 from turnwise.llm.common import fresh_path, read
 
 
@@ -26,10 +26,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(trick))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.resolved(read(spark, sf_dir, "documents"), k=3, percent=85).drop("digest")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.resolved(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the cache begins empty here, so that every run does the whole work
     cache = fresh_path(spark, "count-cache")
@@ -48,7 +56,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
     "op3_chat_format": op3_chat_format,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,

@@ -59,7 +59,7 @@ def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> Da
             texts = b.column(1).to_pylist()
             n = []
             for lo, hi in slices(texts):
-                n += [len(x) // 4 for x in enc.encode(texts[lo:hi])]
+                n += [len(x) // enc.dtype.itemsize for x in enc.encode(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     # each missing content goes along with one of its documents; the small side is hashed, texts are not sorted
