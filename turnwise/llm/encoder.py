@@ -3,7 +3,9 @@
 A byte-level tokenizer cuts a text by its pattern and merges within the pieces only, so a text's ids are
 those of its pieces, one after the other. ``PieceEncoder`` keeps the ids of pieces in a bounded memo of
 the worker and hands only new ones to the library, most of them joined to one long text whose ids are
-cut up again by the lengths of their bytes. Texts that hold a special token or a character beyond
+cut up again by the lengths of their bytes. Plain texts (Latin-1, single white space, no apostrophe) are
+cut into pieces, and the pieces found in the memo, by numpy over many texts at once; the memo's keys are
+64-bit hashes. Texts that hold a special token or a character beyond
 Latin-1 (where Unicode tables of two libraries might differ) go to the library as a whole, as do all
 texts if the tokenizer is built in another way. ``tests/llm`` compare both ways on whole texts.
 """
@@ -19,11 +21,19 @@ import regex
 
 END_ID = 2
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_rng = np.random.default_rng(20240612)
+_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
+_R = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+_ODD = re.compile(r"\s\s|'").search
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
 class PieceEncoder:
-    MEMO = 600_000  # pieces
+    MEMO = 700_000  # pieces
     LONG = 64  # characters; longer pieces are encoded but not kept
 
     def __init__(self, path: str):
@@ -54,6 +64,47 @@ class PieceEncoder:
         for token, i in made["model"]["vocab"].items() if self.by_piece else ():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
+        self.by_hash: dict[int, bytes] = {}
+        kinds = [regex.compile(x).match for x in (r"\s", r"\p{L}", r"\p{N}")]
+        kind = lambda c: next((k for k, m in enumerate(kinds) if m(c)), _OTHER)
+        self.kind = np.array([kind(chr(i)) for i in range(256)], np.uint8)
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Of texts in Latin-1 that are not empty, neither begin nor end with white space, and hold
+        neither two of it in a row nor an apostrophe."""
+        raw = b"".join(texts)
+        b = np.frombuffer(raw, np.uint8)
+        size = np.array([len(t) for t in texts])
+        opens = np.cumsum(size) - size
+        kind = self.kind[b]
+        start = np.ones(len(b), bool)
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start[1:] &= b[:-1] != 0x20  # a space goes with what follows
+        start |= kind == _SPACE
+        start[opens] = True
+        s = np.flatnonzero(start)
+        h, first, which = np.unique(hashes(b, s, np.append(s[1:], len(b))), return_index=True, return_inverse=True)
+        if len(self.by_hash) > self.MEMO:
+            self.by_hash.clear()
+        found = list(map(self.by_hash.get, h.tolist()))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            begin, end = s[first[new]].tolist(), np.append(s[1:], len(b))[first[new]].tolist()
+            pieces = [raw[x:y].decode("latin-1") for x, y in zip(begin, end)]
+            ids = self._learn(pieces)
+            for i, p, key in zip(new, pieces, h[new].tolist()):
+                found[i] = ids[p]
+                if len(p) <= self.LONG:
+                    self.by_hash[key] = ids[p]
+        n = np.array([len(x) for x in found]) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        each = n[which]
+        ends = np.cumsum(each)
+        at = np.repeat((np.cumsum(n) - n)[which] - (ends - each), each)
+        at += np.arange(len(at))
+        out, width = pool[at].tobytes(), self.dtype.itemsize
+        cuts = (np.append((ends - each)[np.searchsorted(s, opens)], len(at)) * width).tolist()
+        return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,18 +131,26 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, in bytes of self.dtype."""
         out: list = [None] * len(texts)
-        easy: list[int] = []
+        plain: dict[int, bytes] = {}
+        easy, hard = [], []
         for i, t in enumerate(texts):
-            if self.by_piece and not self.special(t):
-                try:
-                    t.encode("latin-1")
-                    easy.append(i)
-                except UnicodeEncodeError:
-                    pass
-        easy_set = set(easy)
-        hard = [i for i in range(len(texts)) if i not in easy_set]
+            if not self.by_piece or self.special(t):
+                hard.append(i)
+                continue
+            try:
+                raw = t.encode("latin-1")
+            except UnicodeEncodeError:
+                hard.append(i)
+                continue
+            if raw and not _ODD(t) and not t[0].isspace() and not t[-1].isspace():
+                plain[i] = raw
+            else:
+                easy.append(i)
         for i, ids in zip(hard, self._whole([texts[i] for i in hard])):
             out[i] = ids
+        if plain:
+            for i, ids in zip(plain, self._plain(list(plain.values()))):
+                out[i] = ids
         pieces = [self.find(texts[i]) for i in easy]
         memo = self.memo
         if len(memo) > self.MEMO:
@@ -110,6 +169,18 @@ class PieceEncoder:
         return out
 
 
+def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of b: differences of one running polynomial, moved to power 0."""
+    if len(_powers[0]) < len(b) + 1:
+        for k, r in enumerate((_R, np.uint64(pow(int(_R), -1, 2**64)))):
+            step = np.full(len(b) + (1 << 20), r, np.uint64)
+            step[0] = 1
+            _powers[k] = np.cumprod(step, dtype=np.uint64)
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * _powers[0][: len(b)], out=run[1:])
+    return (run[ends] - run[starts]) * _powers[1][starts]
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's own, kept over tasks."""
     if path not in _encoders:
@@ -122,7 +193,7 @@ def id_type(path: str) -> str:
     return encoder(path).dtype.str
 
 
-def slices(texts: list[str], most: int = 4_000_000):
+def slices(texts: list[str], most: int = 2_000_000):
     """Index ranges of about that many characters, so that working memory stays bounded."""
     start = size = 0
     for i, t in enumerate(texts):
