@@ -111,13 +111,24 @@ def rows_for(threshold: float) -> int:
 
 
 def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
-    """Hashes of the bands that have a register, each with its band's number."""
+    """Hashes of the bands, each with its band's number.
+
+    A bucket that is empty borrows, for banding only, from the next one that is not, marked with the
+    distance: so each register of a band agrees with the chance of the similarity, in small sets too.
+    A band takes registers from all over, so that what it borrows comes from different buckets.
+    """
     n = BUCKETS // rows
-    r = regs[: n * rows].reshape(n, rows).astype(np.uint64)
+    held = np.flatnonzero(regs)
+    if not len(held):
+        return np.empty(0, np.int64)
+    at = np.arange(BUCKETS)
+    source = held[np.searchsorted(held, at) % len(held)]
+    value = regs[source].astype(np.uint64) | ((source - at) % BUCKETS).astype(np.uint64) << np.uint64(16)
+    r = value[: n * rows].reshape(rows, n)
     h = _mix(np.arange(1, n + 1, dtype=np.uint64) * _R)
     for j in range(rows):
-        h = _mix(h + r[:, j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j))
-    return h[r.any(axis=1)].view(np.int64)
+        h = _mix(h + r[j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j))
+    return h.view(np.int64)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
