@@ -1,14 +1,16 @@
 """Byte-level BPE in Spark higher-order functions over distinct words.
 
-1. A scan cuts texts into the pattern's matches and writes each chunk of documents as one row: the
-   chunk's distinct words, and for each document the numbers of its words (bounded by CHUNK characters).
+1. A scan cuts texts into the pattern's matches and gives each chunk of documents as one row: the words
+   that the task has not met before, and for each document the numbers of its words. The numbering of a
+   task begins anew after KNOWN words, so its memory is bounded.
 2. ``transform`` encodes the words of a row: ``aggregate`` folds merges over an array of pieces (bytes
    in hex, so that joining pieces joins strings), always the leftmost pair of lowest rank. Ranks are a
    literal: an array of small maps, addressed by the CRC-32 of the key, since one map of 50,000 entries
    would be searched from end to end.
-3. The ids of words make the ids of documents; decoding joins the ids' binary pieces.
+3. The ids of words, kept by number, make the ids of documents; decoding joins the ids' binary pieces.
 
-All three are one stage without a shuffle, so a lost executor costs its chunks only. Words of more than
+All three are one stage without a shuffle, so a lost executor costs its tasks only. Small partitions are
+put together (not shuffled) up to TASK_BYTES of input, since a task encodes each of its words once. Words of more than
 LONG bytes take the same merges from a heap in step 3: the fold copies its array for each merge, which
 is quadratic in a word's length.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import text_of
 
-CHUNK = 24_000_000  # characters
+CHUNK = 2_000_000  # characters
+KNOWN = 1_000_000  # words
+TASK_BYTES = 128 << 20
 LONG = 96  # bytes
 BUCKETS = 1 << 15
 
@@ -132,11 +137,12 @@ class _Numbers(dict):
         return n
 
 
-CHUNK_SCHEMA = "words array<string>, long_words array<binary>, at binary, counts array<int>"
+CHUNK_SCHEMA = "words array<string>, long_words array<binary>, at binary, counts array<int>, anew boolean"
 
 
 def chunked(docs: DataFrame, pattern: str) -> DataFrame:
-    """keys (a struct of the given columns) in order, and CHUNK_SCHEMA, one row for each chunk."""
+    """keys ARRAY<__key> of a chunk's documents and CHUNK_SCHEMA: words has the new ones in the order of
+    their numbers, null for a long one, whose bytes are in long_words; anew: numbering begins at 0."""
     keys = docs.schema["__key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,30 +150,31 @@ def chunked(docs: DataFrame, pattern: str) -> DataFrame:
         import regex
 
         find = regex.compile(pattern).findall
-        seen, key_parts, at, counts, size = _Numbers(), [], [], [], 0
+        seen, told, anew = _Numbers(), 0, True
+        key_parts, at, counts, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seen, key_parts, at, counts, size
-            words, longer, place = [], [], np.empty(len(seen), "<i4")
-            for w, n in seen.items():
+            nonlocal seen, told, anew, key_parts, at, counts, size
+            words, longer = [], []
+            for w in itertools.islice(reversed(seen), len(seen) - told):
                 raw = w.encode()
+                words.append(raw.hex().upper() if len(raw) <= LONG else None)
                 if len(raw) > LONG:
                     longer.append(raw)
-                    place[n] = -len(longer)
-                else:
-                    place[n] = len(words)
-                    words.append(raw.hex().upper())
-            index = place[np.concatenate(at)] if at else np.empty(0, "<i4")
             keyed = pa.concat_arrays(key_parts)
-            lists = [
+            cols = [
                 pa.ListArray.from_arrays(pa.array([0, len(keyed)], pa.int32()), keyed),
-                pa.array([words], pa.list_(pa.string())),
-                pa.array([longer], pa.list_(pa.binary())),
-                pa.array([index.astype("<i4").tobytes()], pa.binary()),
+                pa.array([words[::-1]], pa.list_(pa.string())),
+                pa.array([longer[::-1]], pa.list_(pa.binary())),
+                pa.array([np.concatenate(at).tobytes()], pa.binary()),
                 pa.array([counts], pa.list_(pa.int32())),
+                pa.array([anew], pa.bool_()),
             ]
-            seen, key_parts, at, counts, size = _Numbers(), [], [], [], 0
-            return pa.RecordBatch.from_arrays(lists, ["keys", "words", "long_words", "at", "counts"])
+            told, anew = len(seen), False
+            if told > KNOWN:
+                seen, told, anew = _Numbers(), 0, True
+            key_parts, at, counts, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays(cols, ["keys", "words", "long_words", "at", "counts", "anew"])
 
         for b in batches:
             texts, begin = b.column(1).to_pylist(), 0
@@ -202,39 +209,62 @@ def _table(path: str) -> tuple:
 def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 for each row of docs."""
     keep = keep or ("doc_id",)
+    kept = key_type(docs, keep)
     key = F.struct(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
-    chunks = chunked(docs.select(key.alias("__key"), text_of().alias("text")), pattern)
+    docs = docs.select(key.alias("__key"), text_of().alias("text"))
+    docs = docs.coalesce(_tasks(docs))
     literal = rank_literal(ranks_of(path))
-    ids = chunks.select("keys", F.transform("words", lambda w: encode_word(literal, w)).alias("ids"), "long_words", "at", "counts")
+    ids = chunked(docs, pattern).select(
+        "keys",
+        F.transform("words", lambda w: F.when(w.isNotNull(), encode_word(literal, w))).alias("ids"),
+        "long_words",
+        "at",
+        "counts",
+        "anew",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         ranks, pieces = _table(path)
+        said: list[str] = []  # a word's ids as text, by its number
+        back: list[bytes] = []  # its bytes, from the ids
+        size = np.empty(0, np.int32)
         for b in batches:
             for r in range(b.num_rows):
+                if b.column(5)[r].as_py():
+                    said, back, size = [], [], np.empty(0, np.int32)
+                longer = iter(b.column(2)[r].as_py())
+                n_of = []
+                for w in b.column(1)[r].as_py():
+                    w = merge_heap(next(longer), ranks) if w is None else w
+                    said.append(",".join(map(str, w)))
+                    back.append(b"".join([pieces[i] for i in w]))
+                    n_of.append(len(w))
+                size = np.concatenate([size, np.array(n_of, np.int32)])
                 keys = b.column(0)[r].values
-                words = b.column(1)[r].as_py() + [merge_heap(w, ranks) for w in reversed(b.column(2)[r].as_py())]
                 at = np.frombuffer(b.column(3)[r].as_buffer(), "<i4")
-                said = [",".join(map(str, w)) for w in words]
-                size = np.array([len(w) for w in words], np.int64)
-                sizes, n_tokens, ids_sha, decoded_sha, begin = size[at] if len(size) else size, [], [], [], 0
+                sizes = size[at]
+                n_tokens, ids_sha, decoded_sha, begin = [], [], [], 0
                 for n in b.column(4)[r].as_py():
                     doc = at[begin : begin + n].tolist()
                     n_tokens.append(int(sizes[begin : begin + n].sum()))
                     ids_sha.append(hashlib.sha256(",".join([said[i] for i in doc]).encode()).hexdigest())
-                    whole = [i for w in map(words.__getitem__, doc) for i in w]
-                    decoded_sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, whole))).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join([back[i] for i in doc])).hexdigest())
                     begin += n
-                for lo in range(0, len(n_tokens), 10_000):
-                    cut = slice(lo, lo + 10_000)
-                    cols = [keys.slice(lo, 10_000), pa.array(n_tokens[cut], pa.int64()), pa.array(ids_sha[cut]), pa.array(decoded_sha[cut])]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = [keys, pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = ids.mapInArrow(run, f"key {key_type(docs, keep)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = ids.mapInArrow(run, f"key {kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(*(F.col(f"key.k{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _tasks(docs: DataFrame) -> int:
+    """One for each core, more where that would give a task more than TASK_BYTES, as Spark estimates."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 1_000_000))
+
+
 def key_type(docs: DataFrame, keep: tuple[str, ...]) -> str:
     fields = (f"k{i}:{docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return f"struct<{','.join(fields)}>"
