@@ -261,7 +261,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
 
 def _tasks(docs: DataFrame) -> int:
     """One for each core, more where that would give a task more than TASK_BYTES, as Spark estimates."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(1, docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 1_000_000))
 
 
