@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import text_of
 
 CHUNK = 2_000_000  # characters
-KNOWN = 1_000_000  # words
+KNOWN = 700_000  # words
 TASK_BYTES = 128 << 20
 LONG = 96  # bytes
 BUCKETS = 1 << 15
@@ -202,7 +202,7 @@ def _table(path: str) -> tuple:
         pieces = [b""] * size
         for p, i in ranks.items():
             pieces[i] = p
-        _tables[path] = ranks, pieces
+        _tables[path] = ranks, pieces, [str(i).encode() for i in range(size)]
     return _tables[path]
 
 
@@ -226,33 +226,35 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        ranks, pieces = _table(path)
-        said: list[str] = []  # a word's ids as text, by its number
-        back: list[bytes] = []  # its bytes, from the ids
-        size = np.empty(0, np.int32)
+        ranks, pieces, texts = _table(path)
+        pool, size = [], []  # of the words by number: ids one after the other, and how many
         for b in batches:
             for r in range(b.num_rows):
                 if b.column(5)[r].as_py():
-                    said, back, size = [], [], np.empty(0, np.int32)
-                longer = iter(b.column(2)[r].as_py())
-                n_of = []
-                for w in b.column(1)[r].as_py():
-                    w = merge_heap(next(longer), ranks) if w is None else w
-                    said.append(",".join(map(str, w)))
-                    back.append(b"".join([pieces[i] for i in w]))
-                    n_of.append(len(w))
-                size = np.concatenate([size, np.array(n_of, np.int32)])
+                    pool, size = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+                words = b.column(1)[r].values
+                longer = [merge_heap(w, ranks) for w in b.column(2)[r].as_py()]
+                if longer:
+                    rest = iter(longer)
+                    words = pa.array([next(rest) if w is None else w for w in words.to_pylist()], pa.list_(pa.int32()))
+                pool = [np.concatenate([*pool, words.flatten().to_numpy()])]
+                size = [np.concatenate([*size, np.diff(words.offsets.to_numpy())])]
+                first = np.cumsum(size[0]) - size[0]
                 keys = b.column(0)[r].values
                 at = np.frombuffer(b.column(3)[r].as_buffer(), "<i4")
-                sizes = size[at]
-                n_tokens, ids_sha, decoded_sha, begin = [], [], [], 0
-                for n in b.column(4)[r].as_py():
-                    doc = at[begin : begin + n].tolist()
-                    n_tokens.append(int(sizes[begin : begin + n].sum()))
-                    ids_sha.append(hashlib.sha256(",".join([said[i] for i in doc]).encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join([back[i] for i in doc])).hexdigest())
-                    begin += n
-                cols = [keys, pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                each = size[0][at]
+                ends = np.cumsum(each)
+                ids = np.repeat(first[at] - (ends - each), each)
+                ids += np.arange(len(ids))
+                ids = pool[0][ids]
+                counts = np.array(b.column(4)[r].as_py(), np.int64)
+                cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+                ids_sha, decoded_sha = [], []
+                for begin, end in zip(cuts.tolist(), cuts[1:].tolist()):
+                    doc = ids[begin:end].tolist()
+                    ids_sha.append(hashlib.sha256(b",".join([texts[i] for i in doc])).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join([pieces[i] for i in doc])).hexdigest())
+                cols = [keys, pa.array(np.diff(cuts), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = ids.mapInArrow(run, f"key {kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")

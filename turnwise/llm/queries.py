@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from turnwise.llm import binary, bpe, chat, embedding_dedup, mixing, near_dedup, quality, token_counts
+from turnwise.llm import binary, bpe, chat, embedding_dedup, mixing, near_dedup, quality, token_counts, toxicity
 from turnwise.llm.common import fresh_path, read
 
 
@@ -18,6 +18,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_back(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trick = spark.range(2).selectExpr(
@@ -55,6 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
