@@ -260,3 +260,12 @@ def resolved(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", "digest", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; of rows alike in doc_id and text, one."""
+    kept = resolved(docs, k, percent).where("kept").groupBy(F.col("doc_id").alias("k_doc")).agg(F.count("*").alias("k_n"))
+    kept = written(kept, "kept")
+    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
+    repeated = kept.where("k_n > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows

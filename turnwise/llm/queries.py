@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from turnwise.llm import binary, bpe, chat, embedding_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from turnwise.llm import binary, bpe, chat, embedding_dedup, licenses, mixing, near_dedup, quality, token_counts, toxicity
 from turnwise.llm.common import fresh_path, read
 
 
@@ -57,6 +57,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
     "op2_toxicity": op2_toxicity,
@@ -67,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
 }
