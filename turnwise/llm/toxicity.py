@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import crc_mod, text_of
 from turnwise.llm.encoder import slices
 
-TRAIN = 1200
+TRAIN = 800
 LANDMARKS = 256
 DECAY, REACH, PIECE = 0.5, 5, 20
 CODES = 1 << 20
@@ -225,12 +225,13 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return NEVER
-    letters, starts, doc = units(texts)
-    raw, ends = letters.tobytes(), np.append(starts[1:], len(letters)).tolist()
     of_doc: list[set[bytes]] = [set() for _ in texts]
-    for s, e, d in zip(starts.tolist(), ends, doc.tolist()):
-        if e - s > 4:
-            of_doc[d].add(raw[s:e])
+    for lo, hi in slices(texts, 500_000):
+        letters, starts, doc = units(texts[lo:hi])
+        raw, ends = letters.tobytes(), np.append(starts[1:], len(letters)).tolist()
+        for s, e, d in zip(starts.tolist(), ends, doc.tolist()):
+            if e - s > 4:
+                of_doc[lo + d].add(raw[s:e])
     # parts of five letters that toxic texts have and others do not
     parts = lambda w: [w[i : i + 5] for i in range(max(1, len(w) - 4))]
     seen = [Counter(), Counter()]
@@ -274,7 +275,8 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
         # what the machine wrongly finds in clean texts is learned as well
         f = dict(zip(clean, decisions(*_packed(clean), model.table).tolist()))
         negative = list(dict.fromkeys(negative + sorted(clean, key=lambda x: -f[x])[:3000]))
-    return Model(model.table, model.bias, _logistic(model.highest(texts), y))
+    x = np.vstack([model.highest(texts[lo:hi]) for lo, hi in slices(texts, 500_000)])
+    return Model(model.table, model.bias, _logistic(x, y))
 
 
 def hash_of(word: bytes) -> int:
