@@ -23,22 +23,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import text_of
+from turnwise.llm.encoder import PATTERN, is_plain, latin, plain_pieces, slices
 
 CHUNK = 2_000_000  # characters
-KNOWN = 700_000  # words
+KNOWN = 1_000_000  # words
 TASK_BYTES = 128 << 20
 LONG = 96  # bytes
 BUCKETS = 1 << 15
+PLACES = 128  # over LONG
+NONE = 1 << 40  # over any rank
 
 _tables: dict[str, tuple] = {}
 
@@ -68,41 +72,44 @@ def _let(value: Column, body) -> Column:
 
 
 def encode_word(literal: Column, word: Column) -> Column:
-    """ARRAY<INT> of the ids of a word (STRING in hex, not empty)."""
-    rank = lambda key: _rank(literal, key)
-    n = F.length(word) / 2
+    """ARRAY<INT> of the ids of a word (STRING in hex, not empty, of LONG bytes at most).
+
+    The fold's state is one BIGINT for each boundary between pieces that is left, in order: the rank of
+    joining there, or NONE, above the boundary's place. So the least one is the leftmost of lowest rank.
+    """
+    n = F.shiftright(F.length(word), 1)
+    place = lambda x: x.bitwiseAND(PLACES - 1).cast("int")
+
+    def rank(a: Column, b: Column) -> Column:
+        return _rank(literal, F.substring(word, 2 * a + 1, 2 * (b - a)))
+
+    def boundary(a: Column, at: Column, b: Column) -> Column:
+        return F.coalesce(rank(a, b), F.lit(NONE)).cast("bigint") * PLACES + at
 
     def merge(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+        def at(m: Column) -> Column:
+            def joined(j: Column) -> Column:  # j: m's place in the array, from 1
+                left, right = F.coalesce(place(F.get(acc, j - 2)), F.lit(0)), F.coalesce(place(F.get(acc, j)), n)
+                before = boundary(F.coalesce(place(F.get(acc, j - 3)), F.lit(0)), left, right)
+                after = boundary(left, right, F.coalesce(place(F.get(acc, j + 1)), n))
+                rest = F.array_remove(acc, m)
+                return F.transform(rest, lambda x, i: F.when(i == j - 2, before).when(i == j - 1, after).otherwise(x))
 
-        def at(j: Column) -> Column:  # j: 1 for the first pair
-            def joined(m: Column) -> Column:
-                left = F.when(j > 1, F.array(rank(F.concat(F.get(p, (j - 2).cast("int")), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(j + 1 < F.size(p), F.array(rank(F.concat(m, F.get(p, (j + 1).cast("int")))))).otherwise(F.array().cast("array<int>"))
-                j_ = j.cast("int")
-                return F.struct(
-                    F.concat(F.slice(p, 1, j_ - 1), F.array(m), F.slice(p, j_ + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(j_ - 2, F.lit(0))), left, right, F.slice(r, j_ + 2, F.size(p))).alias("r"),
-                )
+            return F.when(m < NONE * PLACES, _let(F.array_position(acc, m).cast("int"), joined)).otherwise(acc)
 
-            return _let(F.concat(F.get(p, (j - 1).cast("int")), F.get(p, j.cast("int"))), joined)
+        return _let(F.array_min(acc), at)
 
-        lowest = F.array_min(r)
-        return F.when(lowest.isNull(), acc).otherwise(_let(F.array_position(r, lowest), at))
+    start = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: boundary(k - 1, k, k + 1))).otherwise(F.array().cast("array<bigint>"))
 
-    pieces = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring(word, 2 * i + 1, F.lit(2)))
+    def ids(left: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(left, place))
+        return F.transform(begins, lambda b, i: rank(b, F.coalesce(place(F.get(left, i)), n)))
 
-    def fold(p: Column) -> Column:
-        pairs = F.when(
-            F.size(p) > 1,
-            F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1)))),
-        ).otherwise(F.array().cast("array<int>"))
-        start = F.struct(p.alias("p"), pairs.alias("r"))
-        steps = F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.aggregate(steps, start, merge, lambda acc: acc["p"]), rank)
+    def fold(whole: Column) -> Column:
+        folded = _let(start, lambda s: F.aggregate(s, s, merge))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(folded, ids))
 
-    whole = rank(word)
-    return _let(whole, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(_let(pieces, fold)))
+    return _let(_rank(literal, word), fold)
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -131,10 +138,52 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+class Words:
+    """Numbers words in the order in which a task meets them.
+
+    Plain texts are cut by numpy and their words known by 64-bit hashes, the others by the pattern."""
+
+    def __init__(self, pattern: str):
+        self.fast = pattern == PATTERN
+        self.find = regex.compile(pattern).findall
+        self.count = 0
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.others: dict[str, int] = {}
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[bytes]]:
+        """Numbers of all words one after the other, how many each text has, and the new words."""
+        parts: list = [np.empty(0, np.int32)] * len(texts)
+        plain, new = {}, []
+        for i, t in enumerate(texts):
+            raw = latin(t) if self.fast and is_plain(t) else None
+            if raw is not None:
+                plain[i] = raw
+                continue
+            found = self.find(t)
+            for w in dict.fromkeys(found):
+                if w not in self.others:
+                    self.others[w] = self.count
+                    self.count += 1
+                    new.append(w.encode())
+            parts[i] = np.array([self.others[w] for w in found], np.int32)
+        if plain:
+            raw, s, ends, opens, h = plain_pieces(list(plain.values()))
+            h, first, which = np.unique(h, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.hashes, h)
+            known = np.zeros(len(h), bool)
+            inside = at < len(self.hashes)
+            known[inside] = self.hashes[at[inside]] == h[inside]
+            number = np.empty(len(h), np.int32)
+            number[known] = self.numbers[at[known]]
+            fresh = np.flatnonzero(~known)
+            number[fresh] = self.count + np.arange(len(fresh), dtype=np.int32)
+            self.count += len(fresh)
+            new += [raw[x:y].decode("latin-1").encode() for x, y in zip(s[first[fresh]].tolist(), ends[first[fresh]].tolist())]
+            self.hashes = np.insert(self.hashes, at[fresh], h[fresh])
+            self.numbers = np.insert(self.numbers, at[fresh], number[fresh])
+            for i, part in zip(plain, np.split(number[which], np.searchsorted(s, opens[1:]))):
+                parts[i] = part
+        return np.concatenate(parts), [len(p) for p in parts], new
 
 
 CHUNK_SCHEMA = "words array<string>, long_words array<binary>, at binary, counts array<int>, anew boolean"
@@ -146,51 +195,24 @@ def chunked(docs: DataFrame, pattern: str) -> DataFrame:
     keys = docs.schema["__key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import regex
-
-        find = regex.compile(pattern).findall
-        seen, told, anew = _Numbers(), 0, True
-        key_parts, at, counts, size = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal seen, told, anew, key_parts, at, counts, size
-            words, longer = [], []
-            for w in itertools.islice(reversed(seen), len(seen) - told):
-                raw = w.encode()
-                words.append(raw.hex().upper() if len(raw) <= LONG else None)
-                if len(raw) > LONG:
-                    longer.append(raw)
-            keyed = pa.concat_arrays(key_parts)
-            cols = [
-                pa.ListArray.from_arrays(pa.array([0, len(keyed)], pa.int32()), keyed),
-                pa.array([words[::-1]], pa.list_(pa.string())),
-                pa.array([longer[::-1]], pa.list_(pa.binary())),
-                pa.array([np.concatenate(at).tobytes()], pa.binary()),
-                pa.array([counts], pa.list_(pa.int32())),
-                pa.array([anew], pa.bool_()),
-            ]
-            told, anew = len(seen), False
-            if told > KNOWN:
-                seen, told, anew = _Numbers(), 0, True
-            key_parts, at, counts, size = [], [], [], 0
-            return pa.RecordBatch.from_arrays(cols, ["keys", "words", "long_words", "at", "counts", "anew"])
-
+        words = Words(pattern)
         for b in batches:
-            texts, begin = b.column(1).to_pylist(), 0
-            for i, t in enumerate(texts):
-                found = list(map(seen.__getitem__, find(t)))
-                at.append(np.array(found, "<i4"))
-                counts.append(len(found))
-                size += len(t)
-                if size >= CHUNK:
-                    key_parts.append(b.column(0).slice(begin, i + 1 - begin))
-                    begin = i + 1
-                    yield flush()
-            if begin < len(texts):
-                key_parts.append(b.column(0).slice(begin))
-        if key_parts:
-            yield flush()
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices(texts, CHUNK):
+                anew = not words.count or words.count > KNOWN
+                if anew:
+                    words = Words(pattern)
+                at, counts, new = words.numbered(texts[lo:hi])
+                keyed = b.column(0).slice(lo, hi - lo)
+                cols = [
+                    pa.ListArray.from_arrays(pa.array([0, len(keyed)], pa.int32()), keyed),
+                    pa.array([[w.hex().upper() if len(w) <= LONG else None for w in new]], pa.list_(pa.string())),
+                    pa.array([[w for w in new if len(w) > LONG]], pa.list_(pa.binary())),
+                    pa.array([at.tobytes()], pa.binary()),
+                    pa.array([counts], pa.list_(pa.int32())),
+                    pa.array([anew], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["keys", "words", "long_words", "at", "counts", "anew"])
 
     return docs.select("__key", "text").mapInArrow(run, f"keys array<{keys.simpleString()}>, {CHUNK_SCHEMA}")
 
@@ -224,8 +246,6 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         ranks, pieces, texts = _table(path)
         pool, size = [], []  # of the words by number: ids one after the other, and how many
         for b in batches:

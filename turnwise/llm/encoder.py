@@ -32,6 +32,40 @@ _ODD = re.compile(r"\s\s|'").search
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
+_KINDS = [regex.compile(x).match for x in (r"\s", r"\p{L}", r"\p{N}")]
+_KIND = np.array([next((k for k, m in enumerate(_KINDS) if m(chr(i))), _OTHER) for i in range(256)], np.uint8)
+
+
+def latin(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+def is_plain(text: str) -> bool:
+    """Not empty, without white space at the ends, two of it in a row, or an apostrophe."""
+    return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _ODD(text)
+
+
+def plain_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pattern's pieces of plain texts in Latin-1: the texts joined, where pieces begin and end, where
+    texts begin, and a hash of each piece."""
+    raw = b"".join(texts)
+    b = np.frombuffer(raw, np.uint8)
+    size = np.array([len(t) for t in texts])
+    opens = np.cumsum(size) - size
+    kind = _KIND[b]
+    start = np.ones(len(b), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[1:] &= b[:-1] != 0x20  # a space goes with what follows
+    start |= kind == _SPACE
+    start[opens] = True
+    s = np.flatnonzero(start)
+    ends = np.append(s[1:], len(b))
+    return raw, s, ends, opens, hashes(b, s, ends)
+
+
 class PieceEncoder:
     MEMO = 700_000  # pieces
     LONG = 64  # characters; longer pieces are encoded but not kept
@@ -65,31 +99,16 @@ class PieceEncoder:
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
         self.by_hash: dict[int, bytes] = {}
-        kinds = [regex.compile(x).match for x in (r"\s", r"\p{L}", r"\p{N}")]
-        kind = lambda c: next((k for k, m in enumerate(kinds) if m(c)), _OTHER)
-        self.kind = np.array([kind(chr(i)) for i in range(256)], np.uint8)
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
-        """Of texts in Latin-1 that are not empty, neither begin nor end with white space, and hold
-        neither two of it in a row nor an apostrophe."""
-        raw = b"".join(texts)
-        b = np.frombuffer(raw, np.uint8)
-        size = np.array([len(t) for t in texts])
-        opens = np.cumsum(size) - size
-        kind = self.kind[b]
-        start = np.ones(len(b), bool)
-        np.not_equal(kind[1:], kind[:-1], out=start[1:])
-        start[1:] &= b[:-1] != 0x20  # a space goes with what follows
-        start |= kind == _SPACE
-        start[opens] = True
-        s = np.flatnonzero(start)
-        h, first, which = np.unique(hashes(b, s, np.append(s[1:], len(b))), return_index=True, return_inverse=True)
+        raw, s, ends, opens, h = plain_pieces(texts)
+        h, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.by_hash) > self.MEMO:
             self.by_hash.clear()
         found = list(map(self.by_hash.get, h.tolist()))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
-            begin, end = s[first[new]].tolist(), np.append(s[1:], len(b))[first[new]].tolist()
+            begin, end = s[first[new]].tolist(), ends[first[new]].tolist()
             pieces = [raw[x:y].decode("latin-1") for x, y in zip(begin, end)]
             ids = self._learn(pieces)
             for i, p, key in zip(new, pieces, h[new].tolist()):
@@ -99,11 +118,11 @@ class PieceEncoder:
         n = np.array([len(x) for x in found]) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(found), self.dtype)
         each = n[which]
-        ends = np.cumsum(each)
-        at = np.repeat((np.cumsum(n) - n)[which] - (ends - each), each)
+        upto = np.cumsum(each)
+        at = np.repeat((np.cumsum(n) - n)[which] - (upto - each), each)
         at += np.arange(len(at))
         out, width = pool[at].tobytes(), self.dtype.itemsize
-        cuts = (np.append((ends - each)[np.searchsorted(s, opens)], len(at)) * width).tolist()
+        cuts = (np.append((upto - each)[np.searchsorted(s, opens)], len(at)) * width).tolist()
         return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -134,15 +153,10 @@ class PieceEncoder:
         plain: dict[int, bytes] = {}
         easy, hard = [], []
         for i, t in enumerate(texts):
-            if not self.by_piece or self.special(t):
-                hard.append(i)
-                continue
-            try:
-                raw = t.encode("latin-1")
-            except UnicodeEncodeError:
+            raw = None if not self.by_piece or self.special(t) else latin(t)
+            if raw is None:
                 hard.append(i)
-                continue
-            if raw and not _ODD(t) and not t[0].isspace() and not t[-1].isspace():
+            elif is_plain(t):
                 plain[i] = raw
             else:
                 easy.append(i)
