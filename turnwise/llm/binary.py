@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import fresh_path, remove, text_of, written
+from turnwise.llm.common import bounded_batches, fresh_path, remove, text_of
 from turnwise.llm.encoder import END_ID, encoder, id_type, slices
 
 BLOCK_IDS = 1 << 20
@@ -56,6 +56,7 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (bytes of unsigned integers of the tokenizer's id_type, the end id last)."""
+    bounded_batches(docs.sparkSession)
     end = np.array([END_ID], dtype=id_type(tokenizer)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

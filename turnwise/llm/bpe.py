@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import text_of
+from turnwise.llm.common import bounded_batches, text_of
 from turnwise.llm.encoder import PATTERN, is_plain, latin, plain_pieces, slices
 
 CHUNK = 2_000_000  # characters
@@ -66,9 +66,12 @@ def _rank(literal: Column, key: Column) -> Column:
     return F.try_element_at(cell, key)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once: a lambda's variable is the only binding that columns have."""
-    return F.get(F.transform(F.array(value), body), 0)
+def _let(value: Column, kind: str, body) -> Column:
+    """body(value), of SQL type kind, with value computed once.
+
+    A lambda's variable is the only binding that columns have. It is that of aggregate() over one element:
+    an item taken out of transform() would ask for its type, and so walk the whole body, each time."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
 
 
 def encode_word(literal: Column, word: Column) -> Column:
@@ -95,9 +98,9 @@ def encode_word(literal: Column, word: Column) -> Column:
                 rest = F.array_remove(acc, m)
                 return F.transform(rest, lambda x, i: F.when(i == j - 2, before).when(i == j - 1, after).otherwise(x))
 
-            return F.when(m < NONE * PLACES, _let(F.array_position(acc, m).cast("int"), joined)).otherwise(acc)
+            return F.when(m < NONE * PLACES, _let(F.array_position(acc, m).cast("int"), "array<bigint>", joined)).otherwise(acc)
 
-        return _let(F.array_min(acc), at)
+        return _let(F.array_min(acc), "array<bigint>", at)
 
     start = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: boundary(k - 1, k, k + 1))).otherwise(F.array().cast("array<bigint>"))
 
@@ -106,10 +109,10 @@ def encode_word(literal: Column, word: Column) -> Column:
         return F.transform(begins, lambda b, i: rank(b, F.coalesce(place(F.get(left, i)), n)))
 
     def fold(whole: Column) -> Column:
-        folded = _let(start, lambda s: F.aggregate(s, s, merge))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(folded, ids))
+        folded = _let(start, "array<bigint>", lambda s: F.aggregate(s, s, merge))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(folded, "array<int>", ids))
 
-    return _let(_rank(literal, word), fold)
+    return _let(_rank(literal, word), "array<int>", fold)
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -231,6 +234,7 @@ def _table(path: str) -> tuple:
 def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 for each row of docs."""
     keep = keep or ("doc_id",)
+    bounded_batches(docs.sparkSession)
     kept = key_type(docs, keep)
     key = F.struct(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
     docs = docs.select(key.alias("__key"), text_of().alias("text"))

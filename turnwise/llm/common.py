@@ -63,3 +63,15 @@ def words_of(text: Column) -> Column:
 
 def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+#: Bytes and rows of text at once on their way to a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches in this session, unless it has sizes of its own: Spark's default of 10,000 rows
+    is too many where rows are whole documents."""
+    for key, (default, small) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, small)

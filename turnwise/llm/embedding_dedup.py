@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import written
+from turnwise.llm.common import bounded_batches, written
 from turnwise.llm.components import components
 from turnwise.llm.near_dedup import Forest
 
@@ -166,6 +166,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
 
 def resolved(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
+    bounded_batches(vectors.sparkSession)
     rows = written(_classed(vectors, cosine), "vectors")
     same = ["label", "digest"]
     classes = rows.where("digest is not null").groupBy(*same).agg(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import text_of, written
+from turnwise.llm.common import bounded_batches, text_of, written
 from turnwise.llm.components import components
 
 BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
@@ -243,6 +243,7 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, pe
 
 def resolved(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, digest, component_id, kept for each row of docs."""
+    bounded_batches(docs.sparkSession)
     sig = written(signatures(docs, k), "signatures")
     classes = sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
     classes = written(classes.where("id is not null"), "classes")

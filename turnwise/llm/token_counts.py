@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from turnwise.llm.common import text_of, written
+from turnwise.llm.common import bounded_batches, text_of, written
 from turnwise.llm.encoder import encoder, slices
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -47,6 +47,7 @@ def _cached(spark, path: str, version: str) -> DataFrame:
 def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; the cache at that path is longer afterwards."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     version = version_of(tokenizer)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = written(text.select("doc_id", _digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")

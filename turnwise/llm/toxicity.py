@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import crc_mod, text_of
+from turnwise.llm.common import bounded_batches, crc_mod, text_of
 from turnwise.llm.encoder import slices
 
 TRAIN = 800
@@ -302,6 +302,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """keep, then score for each row of docs."""
     keep = keep or ("doc_id",)
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^20 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
