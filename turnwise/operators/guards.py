@@ -1,0 +1,101 @@
+"""Resumable runs: what is done, what is stale, what may be let in, and edit guards."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from turnwise.functions.align import align
+from turnwise.schemas import TRUTH_PREFIXES
+
+
+def pending(wanted: DataFrame, done: DataFrame, keys: list[str], settings: str | None = None) -> DataFrame:
+    """What a sink does not hold yet, or holds under other settings."""
+    on = [*keys, settings] if settings else keys
+    return wanted.join(done.select(*on).distinct(), on, "left_anti")
+
+
+def complete(counts: DataFrame, sidecars: DataFrame, keys: list[str], counted: str, told: str) -> DataFrame:
+    """keys and done: whether the rows written are as many as the sidecar says; without a number, not."""
+    both = sidecars.join(counts, keys, "left")
+    return both.select(*keys, F.coalesce(F.col(told) == F.coalesce(F.col(counted), F.lit(0)), F.lit(False)).alias("done"))
+
+
+def audit(stored: DataFrame, current: DataFrame, keys: list[str], mark: str = "mark") -> DataFrame:
+    """keys and state of stored marks against current ones: ok, mismatch, absent or no_source."""
+    s = stored.select(*keys, F.col(mark).alias("__s"), F.lit(True).alias("__in_s"))
+    c = current.select(*keys, F.col(mark).alias("__c"), F.lit(True).alias("__in_c"))
+    state = F.when(F.col("__in_s").isNull(), "absent").when(F.col("__in_c").isNull(), "no_source").when(F.col("__s").eqNullSafe(F.col("__c")), "ok").otherwise("mismatch")
+    return s.join(c, keys, "full").select(*keys, state.alias("state"))
+
+
+def reconciled(results: DataFrame, sidecars: DataFrame, ok: Column) -> DataFrame:
+    """The source with more good rows; sidecars where they are as many."""
+    n = [df.where(ok).count() for df in (results, sidecars)]
+    return results if n[0] > n[1] else sidecars
+
+
+def without_truth(df: DataFrame) -> DataFrame:
+    """df, if no column tells the truth about its rows; raises otherwise."""
+    found = [c for c in df.columns if c.startswith(TRUTH_PREFIXES)]
+    if found:
+        raise ValueError(f"columns that a system must not see: {', '.join(found)}")
+    return df
+
+
+def selected(df: DataFrame, only: list[str] | None, limit: int | None, order: list[str]) -> DataFrame:
+    """Rows of the named clips, or of videos named without their window; then the first ``limit`` in order."""
+    if only:
+        df = df.where(F.col("clip_id").isin(only) | F.substring_index("clip_id", "__", 1).isin(only))
+    return df.orderBy(*order).limit(limit) if limit is not None else df
+
+
+def edit_verdict(before: Column, after: Column, licensed: Column) -> Column:
+    """STRUCT<ok, reason> for an edited text: empty, grown, more Latin than before, or more changes at
+    places without a licence (ARRAY<INT>) than a quarter of its words."""
+
+    @F.pandas_udf("ok boolean, reason string")
+    def run(a: pd.Series, b: pd.Series, free: pd.Series) -> pd.DataFrame:
+        def latin(words):
+            return sum(w.isascii() and any(c.isalpha() for c in w) for w in words) / max(1, len(words))
+
+        def one(x, y, places):
+            u, v = (x or "").split(), (y or "").split()
+            if u and not v:
+                return False, "empty"
+            if len(v) > 1.05 * len(u) + 1:
+                return False, "growth"
+            if latin(v) - latin(u) > 0.10:
+                return False, "latin"
+            places = set(places if places is not None else [])
+            changed = sum(op != "C" and (i not in places) for op, i, _ in align(u, v))
+            return (False, "unlicensed") if changed > max(1, math.ceil(0.25 * len(u))) else (True, "ok")
+
+        return pd.DataFrame([one(*t) for t in zip(a, b, free)], columns=["ok", "reason"])
+
+    return run(before, after, licensed)
+
+
+def windows(segments: DataFrame, pairs: DataFrame, core: int = 12, most: int = 24, context: int = 8) -> DataFrame:
+    """clip_id, window, lo, hi, from, to: cores of about ``core`` segments that keep overlapping ones
+    together up to ``most``, with context on both sides. Sequential, so one clip at a time."""
+
+    def one(key, seg: pd.DataFrame, pair: pd.DataFrame) -> pd.DataFrame:
+        n, reach = len(seg), {}
+        for a, b in zip(pair["a"], pair["b"]):
+            lo, hi = min(a, b), max(a, b)
+            reach[lo] = max(reach.get(lo, lo), hi)
+        rows, at = [], 0
+        while at < n:
+            end, i = min(at + core, n), at
+            while i < end:
+                end = min(max(end, reach.get(i, i) + 1), at + most, n)
+                i += 1
+            rows.append((key[0], len(rows), at, end - 1, max(0, at - context), min(n, end + context) - 1))
+            at = end
+        return pd.DataFrame(rows, columns=["clip_id", "window", "lo", "hi", "from", "to"])
+
+    return segments.groupBy("clip_id").cogroup(pairs.groupBy("clip_id")).applyInPandas(one, "clip_id string, window int, lo int, hi int, `from` int, `to` int")
