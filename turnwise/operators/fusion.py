@@ -61,8 +61,8 @@ def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], du
     """Turns that systems agree on, in order of start and speaker.
 
     Systems without turns do not count, one alone passes through. The heaviest comes first, then the
-    order given. Each next one's labels are assigned to those so far by the largest overlap with what
-    has been voted, and new names made for the rest; a label holds where its votes reach the share."""
+    order given and keeps its labels. Each next one's labels are assigned to those so far by the largest overlap with what
+    has been voted, and names spk{n} made for the rest; a label holds where its votes reach the share."""
     pairs = [(t, w) for t, w in zip(systems, weights) if t]
     if not pairs:
         return []
@@ -73,7 +73,7 @@ def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], du
     tracks = [_unions(t, n) for t, _ in pairs]
     cuts = np.unique([x for t in tracks for spans in t.values() for span in spans for x in span] or [0, 0])
     v = Votes(cuts)
-    for (turns, w), spans in zip(pairs, tracks):
+    for k, ((turns, w), spans) in enumerate(zip(pairs, tracks)):
         own = sorted(spans)
         mapped: dict[str, int] = {}
         if v.labels and own:
@@ -84,7 +84,7 @@ def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], du
         for x in own:
             if x not in mapped:
                 mapped[x] = len(v.labels)
-                v.labels.append(f"spk{len(v.labels)}")
+                v.labels.append(f"spk{len(v.labels)}" if k else x)
                 v.rows.append(np.zeros(len(v.length)))
             v.rows[mapped[x]] += w * v.track(spans[x])
     need = threshold * sum(w for _, w in pairs) - 1e-9
