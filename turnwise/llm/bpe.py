@@ -239,10 +239,15 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     key = F.struct(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)))
     docs = docs.select(key.alias("__key"), text_of().alias("text"))
     docs = docs.coalesce(_tasks(docs))
-    literal = rank_literal(ranks_of(path))
+    # one literal in the plan, bound to a variable: each mention would be a copy
+    words = _let(
+        rank_literal(ranks_of(path)),
+        "array<array<int>>",
+        lambda table: F.transform("words", lambda w: F.when(w.isNotNull(), encode_word(table, w))),
+    )
     ids = chunked(docs, pattern).select(
         "keys",
-        F.transform("words", lambda w: F.when(w.isNotNull(), encode_word(literal, w))).alias("ids"),
+        words.alias("ids"),
         "long_words",
         "at",
         "counts",
