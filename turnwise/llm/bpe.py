@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import bounded_batches, text_of
 from turnwise.llm.encoder import PATTERN, is_plain, latin, plain_pieces, slices
 
-CHUNK = 2_000_000  # characters
+CHUNK = 1_000_000  # characters
 KNOWN = 1_000_000  # words
 TASK_BYTES = 128 << 20
 LONG = 96  # bytes

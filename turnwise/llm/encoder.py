@@ -207,7 +207,7 @@ def id_type(path: str) -> str:
     return encoder(path).dtype.str
 
 
-def slices(texts: list[str], most: int = 2_000_000):
+def slices(texts: list[str], most: int = 1_000_000):
     """Index ranges of about that many characters, so that working memory stays bounded."""
     start = size = 0
     for i, t in enumerate(texts):

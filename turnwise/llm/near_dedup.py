@@ -6,7 +6,7 @@
 2. Bands of registers find candidates. ``rows_for`` takes as many registers to a band as keep the chance
    of missing a pair at the threshold under 1e-8. A band's least member links to each other one, so
    candidates grow with the members; their components are groups that no true link leaves.
-3. Each group is checked in blocks of about BLOCK classes, each block with itself and with each other,
+3. Each group is checked in blocks of about BLOCK classes or BLOCK_SHINGLES shingles, each block with itself and with each other,
    so that a large group is dealt over tasks. In a block pair, the collision-corrected Jaccard
    estimate from the registers rules pairs out (six standard deviations below the threshold), pairs
    already connected are passed over, and the rest is compared on the full shingle sets. Only the
@@ -38,7 +38,7 @@ BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
 #: Chance that the registers of two different hashes agree, for ten mantissa bits.
 COLLISION = 2.0 ** -(MANTISSA + 1)
 MISS = 1e-8
-BLOCK = 800
+BLOCK, BLOCK_SHINGLES = 800, 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -206,14 +206,13 @@ def forest_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
 
 def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): links between classes, enough to connect all that are connected."""
-    sizes = groups.groupBy("component").count()
-    blocks = sizes.select(
-        F.col("component").alias("g"), F.ceil(F.col("count") / BLOCK).cast("int").alias("n")
+    known = classes.select(F.col("id").alias("c_id"), F.col("digest").alias("c_digest"), "size")
+    grouped = groups.join(known, F.col("node") == F.col("c_id"))
+    most = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    blocks = grouped.groupBy(F.col("component").alias("g")).agg(F.ceil(most).cast("int").alias("n"))
+    member = grouped.join(blocks, F.col("component") == F.col("g")).select(
+        "node", "g", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("c"), "c_digest"
     )
-    member = groups.join(blocks, F.col("component") == F.col("g")).select(
-        "node", "g", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("c")
-    )
-    member = member.join(classes.select(F.col("id").alias("c_id"), F.col("digest").alias("c_digest")), F.col("node") == F.col("c_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     texts = rows.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
 
@@ -245,7 +244,7 @@ def resolved(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, digest, component_id, kept for each row of docs."""
     bounded_batches(docs.sparkSession)
     sig = written(signatures(docs, k), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
+    classes = sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("size"))
     classes = written(classes.where("id is not null"), "classes")
     bands = _bands(classes, rows_for(percent / 100))
     least = bands.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")

@@ -317,7 +317,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            score = [held.value.scores(texts[lo:hi]) for lo, hi in slices(texts)]
+            score = [held.value.scores(texts[lo:hi]) for lo, hi in slices(texts, 400_000)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score or [np.empty(0)]))], ["__key", "score"])
 
     key = F.struct(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep))).alias("__key")
