@@ -104,8 +104,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     # one column for each step: lambdas then read a finished array, not its expression again
     paired = hashed.select(*keep, text, words, F.col("__lines"), _sorted_pairs(F.col("__grams")).alias("__pairs"))
     placed = paired.select(*keep, text, words, F.col("__lines"), _places_of_repeats(F.col("__pairs")).alias("__at"))
-    return placed.select(
-        *keep,
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, "\x20\x09\x0a\x0b\x0c\x0d", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -116,6 +115,9 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
         F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w)).cast("long").alias("n_echoes"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
+    # a generator of one row: conditions on counts stay above it, while through projections they would be
+    # pushed down, and each array computed again for every element that looks into it
+    return placed.select(*keep, F.explode_outer(F.array(counts)).alias("__m")).select(*keep, "__m.*")
 
 
 def base_failed() -> Column:
@@ -153,10 +155,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *keep: str) -> Data
 def keep_clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs["text"])
-    counts = measured(row, "__row")
-    # as a filter the verdict would be pushed down, and each array computed again for every use
-    kept = F.when(~base_failed() & verdict(rules), F.array("__row"))
-    return counts.select(F.explode_outer(kept).alias("__row")).where("__row is not null").select("__row.*")
+    return measured(row, "__row").where(~base_failed() & verdict(rules)).select("__row.*")
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
