@@ -54,6 +54,8 @@ def test_lag_profile_finds_the_shift():
     ref, hyp = [(2.0, 4.0), (6.0, 7.0)], [(1.5, 3.5), (5.5, 6.5)]
     p = fusion.lag_profile(ref, hyp, 1000, 100)
     assert int(p.argmax()) - 100 == 50 and p.max() == 1.0
+    early = fusion.lag_profile([(-3.0, -2.0), *ref], hyp, 1000, 100)
+    assert (early == p).all()
 
 
 def test_jaccard_error():

@@ -174,7 +174,8 @@ def lag_profile(ref: list[tuple[float, float]], hyp: list[tuple[float, float]],
     for track, spans in ((a, ref), (b, hyp)):
         for s, e in spans:
             lo, hi = frames(s, e, n)
-            track[lo:hi] = 1
+            if hi > lo:
+                track[lo:hi] = 1
     size = 1 << (2 * n - 1).bit_length()
     shared = np.rint(np.fft.irfft(np.conj(np.fft.rfft(b, size)) * np.fft.rfft(a, size), size))
     sum_a, sum_b = np.append(0, np.cumsum(a)), np.append(0, np.cumsum(b))

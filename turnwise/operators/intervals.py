@@ -268,3 +268,10 @@ def unrolled(df: DataFrame, tokens: str, start: str = "start", end: str = "end")
 def neighbour_gaps(df: DataFrame, keys: list[str], idx: str, start: str = "start", end: str = "end") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(start, idx)
     return df.withColumns({"gap_before": F.col(start) - F.lag(end).over(w), "gap_after": F.lead(start).over(w) - F.col(end)})
+
+
+def restrict(df: DataFrame, regions: DataFrame, keys: list[str], width, start: str = "start", end: str = "end") -> DataFrame:
+    """What of each interval lies within the regions (disjoint within keys), a row for each part."""
+    parts = interval_join(df, regions.select(*keys, start, end), keys, width, start, end)
+    cut = {start: F.greatest(F.col(f"l.{start}"), F.col(f"r.{start}")), end: F.least(F.col(f"l.{end}"), F.col(f"r.{end}"))}
+    return parts.select(*(cut[c].alias(c) if c in cut else F.col(f"l.{c}").alias(c) for c in df.columns))
