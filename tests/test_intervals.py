@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,6 +97,26 @@ def test_der_total_counts_overlap_once_for_each_speaker(spark):
     assert (r["total"], r["ok"]) == (30, 30)
 
 
+def test_lenient_region_and_restriction_against_points(spark):
+    ref, hyp = some(14, 1, keys=1, span=200), some(14, 2, keys=1, span=200)
+    r, h = frame(spark, ref), frame(spark, hyp)
+    whole = spark.createDataFrame([("c0", 0, 230)], "clip string, start long, end long")
+    region = iv.scored_region(r, whole, ["clip"], "speaker", 3, True, eps=0)
+    p, q = points(ref, "c0"), points(hyp, "c0")
+    want = set(range(230)) - {t for t, x in p.items() if len(set(x)) > 1}
+    for _, _, _, a, b in ref:
+        for edge in (a, b):
+            want -= set(range(edge - 3, edge + 3))
+    assert {t for x in region.collect() for t in range(x["start"], x["end"])} == want
+    regions = iv.error_regions(iv.restrict(r, region, ["clip"], 10), iv.restrict(h, region, ["clip"], 10), ["clip"])
+    got = sum((x["miss"] + x["fa"] + x["confusion"]) * (x["until"] - x["t"]) for x in regions.collect())
+    error = 0
+    for t in want:
+        a, b = Counter(p.get(t, [])), Counter(q.get(t, []))
+        error += max(sum(a.values()), sum(b.values())) - sum((a & b).values())
+    assert got == error
+
+
 def test_empty_tables_keep_their_schema(spark):
     df = frame(spark, [])
     assert iv.union_intervals(df, ["clip"], eps=0).count() == 0

@@ -275,3 +275,32 @@ def restrict(df: DataFrame, regions: DataFrame, keys: list[str], width, start: s
     parts = interval_join(df, regions.select(*keys, start, end), keys, width, start, end)
     cut = {start: F.greatest(F.col(f"l.{start}"), F.col(f"r.{start}")), end: F.least(F.col(f"l.{end}"), F.col(f"r.{end}"))}
     return parts.select(*(cut[c].alias(c) if c in cut else F.col(f"l.{c}").alias(c) for c in df.columns))
+
+
+def without(regions: DataFrame, holes: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """What of the regions (disjoint within keys) no hole covers."""
+    mark = 1 << 40
+    both = regions.select(*keys, start, end, F.lit(1).cast("long").alias("__w")).unionByName(holes.select(*keys, start, end, F.lit(mark).alias("__w")))
+    left = depth_series(both.where(F.col(start) < F.col(end)), keys, start, end, F.col("__w")).where("depth = 1")
+    return union_intervals(left.select(*keys, F.col("t").alias(start), F.col("until").alias(end)), keys, start, end, 0).drop("n_merged")
+
+
+def scored_region(ref: DataFrame, whole: DataFrame, keys: list[str], label: str, collar, skip_overlap: bool, start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
+    """Where a lenient score counts: ``whole`` less a collar on both sides of each reference edge and, if
+    so chosen, less what two or more labels of the reference share."""
+    edge = F.explode(F.array(start, end)).alias("t")
+    holes = ref.select(*keys, edge).select(*keys, (F.col("t") - collar).alias(start), (F.col("t") + collar).alias(end))
+    if skip_overlap:
+        holes = holes.unionByName(timeline(ref, keys, label, 2, None, start, end, eps))
+    return without(whole, holes, keys, start, end)
+
+
+def transplanted(labels: DataFrame, speech: DataFrame, keys: list[str], label: str, width, fallback: str, start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
+    """Labels where the other system hears speech; where it does and no label holds, the fallback column of
+    ``speech`` (that system's own label, mapped)."""
+    heard = union_intervals(speech, keys, start, end, eps).drop("n_merged")
+    kept = restrict(labels.select(*keys, label, start, end), heard, keys, width, start, end)
+    covered = union_intervals(labels, keys, start, end, eps).drop("n_merged")
+    own = union_intervals(speech.withColumn(label, F.col(fallback)), [*keys, label], start, end, eps).drop("n_merged")
+    gaps = without(heard, covered, keys, start, end)
+    return kept.unionByName(restrict(own, gaps, keys, width, start, end).select(*kept.columns))

@@ -72,3 +72,37 @@ def clip_documents(spark, d):
     docs = writers.clip_documents(read(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"])
     back = docs.select("user_id", F.from_json("document", "array<struct<event_id: bigint, value: double>>").alias("x"))
     return back.select("user_id", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0))["event_id"].alias("first"))
+
+
+COLLAR = 5_000_000
+_ZONES = f"""z AS (SELECT clip, t - {COLLAR} AS s, t + {COLLAR} AS e FROM (SELECT DISTINCT clip, t FROM ev WHERE r <> 0)),
+z0 AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY clip ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM z),
+z1 AS (SELECT *, sum(n) OVER (PARTITION BY clip ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM z0),
+zm AS (SELECT clip, min(s) AS s, max(e) AS e FROM z1 GROUP BY clip, g)"""
+
+
+@query(f"""WITH {_SIDES}, {_ZONES}, dr AS (SELECT clip, t, sum((r > 0)::INT) AS speakers FROM run GROUP BY clip, t),
+q AS (SELECT reg.* FROM reg JOIN dr USING (clip, t) WHERE reg.until IS NOT NULL AND dr.speakers < 2 AND (nr > 0 OR nh > 0)),
+ov AS (SELECT q.clip, q.t, sum(least(zm.e, q.until) - greatest(zm.s, q.t)) AS o FROM q JOIN zm ON zm.clip = q.clip AND zm.s < q.until AND q.t < zm.e GROUP BY q.clip, q.t)
+SELECT q.clip, sum((miss + fa + confusion) * (q.until - q.t - coalesce(o, 0)))::BIGINT AS error, sum(nr * (q.until - q.t - coalesce(o, 0)))::BIGINT AS total
+FROM q LEFT JOIN ov ON q.clip = ov.clip AND q.t = ov.t GROUP BY q.clip""")
+def lenient_errors(spark, d):
+    t = event_turns(spark, d)
+    ref, hyp = t.where("idx % 2 = 0"), t.where("idx % 2 = 1")
+    whole = t.groupBy("clip").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    region = iv.scored_region(ref, whole, ["clip"], "speaker", COLLAR, True, eps=0)
+    r = iv.error_regions(iv.restrict(ref, region, ["clip"], WIDTH), iv.restrict(hyp, region, ["clip"], WIDTH), ["clip"])
+    n = F.col("until") - F.col("t")
+    return r.groupBy("clip").agg(F.sum((F.col("miss") + F.col("fa") + F.col("confusion")) * n).alias("error"), F.sum(F.col("n_ref") * n).alias("total"))
+
+
+@query(f"""WITH {_SIDES}, hh AS (SELECT clip, t, sum(h) AS nh FROM run GROUP BY clip, t), rr AS (SELECT clip, t, sum(r) AS nr FROM run GROUP BY clip, t),
+k AS (SELECT run.clip, run.speaker, run.t, lead(run.t) OVER (PARTITION BY run.clip, run.speaker ORDER BY run.t) AS until, r, h, hh.nh, rr.nr
+  FROM run JOIN hh USING (clip, t) JOIN rr USING (clip, t))
+SELECT clip, speaker, sum((until - t) * CASE WHEN nr > 0 THEN r * (nh > 0)::INT ELSE (h > 0)::INT END)::BIGINT AS len FROM k WHERE until IS NOT NULL
+GROUP BY clip, speaker HAVING sum((until - t) * CASE WHEN nr > 0 THEN r * (nh > 0)::INT ELSE (h > 0)::INT END) > 0""")
+def transplanted_time(spark, d):
+    t = event_turns(spark, d)
+    labels, speech = t.where("idx % 2 = 0"), t.where("idx % 2 = 1").withColumn("own", F.col("speaker"))
+    out = iv.transplanted(labels, speech, ["clip"], "speaker", WIDTH, "own", eps=0)
+    return out.groupBy("clip", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("len"))
