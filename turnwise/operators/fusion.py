@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.align import assign, cp_counts, edit_counts, speaker_errors
+from turnwise.functions.align import align, assign, cp_counts, edit_counts, speaker_errors
 
 HOP, MIN_DUR = 0.01, 0.20
 
@@ -167,6 +167,28 @@ def transcript_scores(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).applyInPandas(one, f"{types}, {SCORES}")
 
 
+def aligned(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, op, i, j: the alignment of the ref and hyp sides of (keys, side, word_idx, token), places from 0."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word_idx")
+        ref, hyp = (pdf.loc[pdf["side"] == s, "token"].tolist() for s in ("ref", "hyp"))
+        out = pd.DataFrame(align(ref, hyp), columns=["op", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
+        for k in keys[::-1]:
+            out.insert(0, k, pdf[k].iat[0])
+        return out
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema if f.name in keys)
+    return stream.groupBy(*keys).applyInPandas(one, f"{types}, op string, i long, j long")
+
+
+def ops_by_region(ops: DataFrame, regions: DataFrame, keys: list[str], region: str) -> DataFrame:
+    """Counts of each operation by the region of its reference word, and the error rate in each."""
+    at = ops.where("i is not null").join(regions.withColumnRenamed("word_idx", "i"), [*keys, "i"])
+    wide = at.groupBy(region).pivot("op", ["C", "S", "D"]).agg(F.count("i")).na.fill(0)
+    return wide.withColumn("error_rate", F.try_divide(F.col("S") + F.col("D"), F.col("C") + F.col("S") + F.col("D")))
+
+
 def lag_profile(ref: list[tuple[float, float]], hyp: list[tuple[float, float]], n: int, reach: int = 500) -> np.ndarray:
     """Overlap over union of two activity tracks of n frames at each lag from -reach to reach; a positive
     lag moves the reference earlier. Lags of n frames and more stay 0."""

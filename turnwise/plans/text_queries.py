@@ -159,6 +159,16 @@ def transcript_scores(spark, d):
     return fusion.transcript_scores(_two_sides(spark, d), ["conv_id"])
 
 
+@query(f"""WITH {_STREAM} SELECT role AS region, sum((word_idx % 9 <> 4)::INT)::BIGINT AS "C", 0::BIGINT AS "S", sum((word_idx % 9 = 4)::INT)::BIGINT AS "D",
+  round(sum((word_idx % 9 = 4)::INT)::DOUBLE / count(*)::DOUBLE, 9) AS error_rate FROM st GROUP BY 1""")
+def region_ops(spark, d):
+    """Operations by the speaker of the reference word; words are made distinct, so that the alignment is, too."""
+    s = _two_sides(spark, d).withColumn("token", F.concat("token", F.lit("#"), F.col("word_idx").cast("string")))
+    regions = s.where("side = 'ref'").select("conv_id", "word_idx", F.col("speaker").alias("region"))
+    out = fusion.ops_by_region(fusion.aligned(s.select("conv_id", "side", "word_idx", "token"), ["conv_id"]), regions, ["conv_id"], "region")
+    return out.withColumn("error_rate", F.round("error_rate", 9))
+
+
 @query()
 def cp_error(spark, d):
     s = transcript_scores(spark, d)
