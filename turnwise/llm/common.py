@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="turnwise-")
+        made = tempfile.mkdtemp(prefix="turnwise-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = f"file://{made}"
         spark.conf.set("turnwise.shared.dir", found)
     return found.rstrip("/")
 
