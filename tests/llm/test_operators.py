@@ -270,6 +270,20 @@ def test_counts_and_cache(spark, awkward, empty, monkeypatch):
     assert get() == want and spark.read.parquet(cache).count() == stored  # nothing is encoded again
 
 
+def test_counts_of_other_tokenizers(spark, awkward):
+    import sentencepiece
+
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    got = token_counts.counted(awkward, pieces, common.fresh_path(spark, "cache"))
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got.collect()), key=repr) == sorted(((i, len(lib.encode(t or ""))) for i, t, *_ in AWKWARD), key=repr)
+    words = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(words)
+    got = token_counts.counted(awkward, words, common.fresh_path(spark, "cache"))
+    want = [(i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in AWKWARD]
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ _rng = np.random.default_rng(20240612)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[str, "PieceEncoder | SentencePieces"] = {}
 
 
 _ODD = re.compile(r"\s\s|'").search
@@ -67,7 +67,7 @@ def plain_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.
 
 
 class PieceEncoder:
-    MEMO = 700_000  # pieces
+    MEMO = 1_000_000  # pieces
     LONG = 64  # characters; longer pieces are encoded but not kept
 
     def __init__(self, path: str):
@@ -195,10 +195,24 @@ def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (run[ends] - run[starts]) * _powers[1][starts]
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's own, kept over tasks."""
+class SentencePieces:
+    """The same for models of the sentencepiece library, which joins words, so whole texts are encoded."""
+
+    dtype = np.dtype("<u4")
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.lib = SentencePieceProcessor(model_file=path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.dtype).tobytes() for ids in self.lib.encode(texts, num_threads=1)]
+
+
+def encoder(path: str) -> PieceEncoder | SentencePieces:
+    """The worker's own, kept over tasks: by tokenizers for .json, by sentencepiece for .model."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = SentencePieces(path) if path.endswith(".model") else PieceEncoder(path)
     return _encoders[path]
 
 
@@ -207,7 +221,7 @@ def id_type(path: str) -> str:
     return encoder(path).dtype.str
 
 
-def slices(texts: list[str], most: int = 1_000_000):
+def slices(texts: list[str], most: int = 2_000_000):
     """Index ranges of about that many characters, so that working memory stays bounded."""
     start = size = 0
     for i, t in enumerate(texts):
