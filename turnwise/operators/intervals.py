@@ -145,10 +145,10 @@ def nearest_turn(words: DataFrame, turns: DataFrame, keys: list[str], word: str
     edges = edges.select(*keys, F.lit(None).cast(words.schema[word].dataType).alias("__w"), "m", "x.__t", "x.__l")
     every = w.unionByName(edges)
     edge = F.when(F.col("__w").isNull(), F.struct("m", "__t", "__l"))
-    by = Window.partitionBy(*keys).orderBy("m")
-    # a frame by value: an edge at the very middle is seen from both sides
-    before = F.last(edge, True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(edge, True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    # frames by value, so that an edge at the very middle is seen from both sides; each grows from its own
+    # end of the order, as one that shrinks towards the end would be summed up anew for every row
+    up, down = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("m").asc(), F.col("m").desc()))
+    before, after = F.last(edge, True).over(up), F.last(edge, True).over(down)
     seen = every.select(*keys, "__w", "m", before.alias("b"), after.alias("a")).where("__w is not null")
     side = lambda x: F.struct(F.abs(F.col(f"{x}.m") - F.col("m")).alias("d"), F.col(f"{x}.__t").alias("t"), F.col(f"{x}.__l").alias("l"))
     pick = F.when(F.col("b").isNull(), side("a")).when(F.col("a").isNull(), side("b")).otherwise(F.least(side("a"), side("b")))
