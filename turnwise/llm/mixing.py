@@ -46,12 +46,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     s = s.select("*", (F.lit(float(most)) * F.col("source_size")).alias("cap"))
     by_level = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.lit(float(share)) * F.sum("source_size").over(whole)
     s = s.select(
         "*",
-        ((total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)).alias("level"),
+        (
+            (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
+            # the weights from here on, as the whole less what is before: whole numbers, and a frame that grows
+            / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+        ).alias("level"),
     )
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
     s = s.select("*", F.first(fits, ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("at"))
