@@ -177,6 +177,35 @@ def test_near_copies_against_brute_force(near_copies, awkward, k, percent, monke
     assert near_dedup.one_of_each(near_copies, k, percent).count() == len({x[2] for x in brute_components([(r["doc_id"], r["text"]) for r in near_copies.collect()], k, percent)})
 
 
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_short_near_copies_against_brute_force(spark, k, percent):
+    """Pairs of 5 to 60 words, with a word more, or the last or an inner one changed: none is missed."""
+    r = random.Random(11)
+    docs, want, n_linked = [], [], 0
+    for i in range(0, 6000, 2):
+        a = [f"v{r.randrange(10**9)}" for _ in range(r.randrange(5, 61))]
+        b, at = list(a), r.choice([len(a), len(a) - 1, r.randrange(len(a))])
+        b[at:at + 1] = [f"n{r.randrange(10**9)}"]
+        x, y = ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (a, b))
+        linked = 100 * len(x & y) >= percent * len(x | y)
+        n_linked += linked
+        docs += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        want += [(i, len(x), i), (i + 1, len(y), i if linked else i + 1)]
+    got = near_dedup.resolved(spark.createDataFrame(docs, "doc_id long, text string"), k, percent)
+    assert n_linked > 1500
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+def test_bands_across_the_sparse_limit(monkeypatch):
+    """Sets on both sides of the limit share bands, as do those over it."""
+    monkeypatch.setattr(near_dedup, "SPARSE", 900)
+    r = np.random.default_rng(4)
+    for n in (700, 880, 899, 901, 1000, 1058, 1200):
+        s = np.unique(r.integers(0, 2**64, n, np.uint64))
+        for part in (s[r.permutation(n)[: -(-85 * n // 100)]], s[r.permutation(n)[: n - 1]]):
+            assert set(near_dedup.band_keys(s, 85)) & set(near_dedup.band_keys(np.sort(part), 85))
+
+
 def test_near_copies_awkward(awkward, empty):
     assert near_dedup.resolved(empty).count() == 0
     one = near_dedup.one_of_each(awkward)

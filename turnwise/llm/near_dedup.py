@@ -1,15 +1,16 @@
 """Near-duplicates by HyperMinHash: compressed registers, banding, corrected estimates, exact checks.
 
-1. A scan hashes each text's shingles and keeps, for each of 256 buckets, the least hash as its number
-   of leading zeros and ten mantissa bits (two bytes). Texts of one shingle set form a class; its least
-   doc_id goes on for all.
-2. Bands of registers find candidates. ``rows_for`` takes as many registers to a band as keep the chance
-   of missing a pair at the threshold under 1e-8. A band's least member links to each other one, so
+1. A scan hashes each text's shingles. Of sets over SPARSE it keeps, for each of 256 buckets, the least
+   hash as its number of leading zeros and ten mantissa bits (two bytes); of others, where buckets stay
+   empty, the minima under as many independent hash functions. Texts of one shingle set form a class;
+   its least doc_id goes on for all.
+2. Bands of these find candidates. ``rows_for`` takes as many values to a band as keep the chance of
+   missing a pair at the threshold under 1e-8. A band's least member links to each other one, so
    candidates grow with the members; their components are groups that no true link leaves.
 3. Each group is checked in blocks of about BLOCK classes or BLOCK_SHINGLES shingles, each block with itself and with each other,
    so that a large group is dealt over tasks. In a block pair, the collision-corrected Jaccard
-   estimate from the registers rules pairs out (six standard deviations below the threshold), pairs
-   already connected are passed over, and the rest is compared on the full shingle sets. Only the
+   estimate from the registers rules pairs out (where Chernoff's bound leaves a chance under 1e-9 for the
+   threshold), pairs already connected are passed over, and the rest is compared on the full shingle sets. Only the
    links of a spanning forest are given out.
 4. Components of those links, and of the classes, are the result.
 
@@ -22,6 +23,7 @@ take part, and a component of them alone has a null id; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +39,12 @@ from turnwise.llm.components import components
 BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
 #: Chance that the registers of two different hashes agree, for ten mantissa bits.
 COLLISION = 2.0 ** -(MANTISSA + 1)
+#: Chernoff's exponent for a chance of 1e-9.
+RULED_OUT = 9 * np.log(10)
 MISS = 1e-8
+#: Sets of up to this many shingles are banded by full MinHashes. Over it, a bucket is empty with a chance
+#: under 0.003.
+SPARSE = 1500
 BLOCK, BLOCK_SHINGLES = 800, 500_000
 
 _SPACE = np.zeros(256, bool)
@@ -46,6 +53,7 @@ _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
+_FACTORS = _rng.integers(0, 2**64, BUCKETS, np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -106,58 +114,78 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
 def rows_for(threshold: float) -> int:
     return max((r for r in range(1, 33) if (1 - threshold**r) ** (BUCKETS // r) <= MISS), default=1)
 
 
-def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+def minima(s: np.ndarray, n: int) -> np.ndarray:
+    """The least value of the hashes under each of n multiplicative hash functions."""
+    step = max(1, 50_000 // len(s))
+    return np.concatenate([(s * _FACTORS[i : min(i + step, n), None]).min(axis=1) for i in range(0, n, step)])
+
+
+def _folded(values: np.ndarray, rows: int, first: int) -> np.ndarray:
+    n = BUCKETS // rows
+    r = values[: n * rows].reshape(rows, n)
+    h = _mix(np.arange(first, first + n, dtype=np.uint64) * _R)
+    for j in range(rows):
+        h = _mix(h + r[j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j))
+    return h.view(np.int64)
+
+
+def register_keys(regs: np.ndarray, rows: int) -> np.ndarray:
     """Hashes of the bands, each with its band's number.
 
     A bucket that is empty borrows, for banding only, from the next one that is not, marked with the
-    distance: so each register of a band agrees with the chance of the similarity, in small sets too.
-    A band takes registers from all over, so that what it borrows comes from different buckets.
+    distance. That makes neighbours alike, so it is for sets with hardly an empty bucket.
     """
-    n = BUCKETS // rows
     held = np.flatnonzero(regs)
-    if not len(held):
-        return np.empty(0, np.int64)
     at = np.arange(BUCKETS)
     source = held[np.searchsorted(held, at) % len(held)]
     value = regs[source].astype(np.uint64) | ((source - at) % BUCKETS).astype(np.uint64) << np.uint64(16)
-    r = value[: n * rows].reshape(rows, n)
-    h = _mix(np.arange(1, n + 1, dtype=np.uint64) * _R)
-    for j in range(rows):
-        h = _mix(h + r[j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j))
-    return h.view(np.int64)
+    return _folded(value, rows, 1)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers, for each row."""
+def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Band hashes of a set: of its minima, if it or a set that it may be linked to has at most SPARSE
+    shingles; of its registers, if it has more."""
+    rows = rows_for(percent / 100)
+    found = [np.empty(0, np.int64)]
+    if len(s) and percent * len(s) <= 100 * SPARSE:
+        found.append(_folded(minima(s, BUCKETS // rows * rows), rows, BUCKETS + 1))
+    if len(s) > SPARSE:
+        found.append(register_keys(registers(s), rows))
+    return np.concatenate(found)
+
+
+def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, band hashes, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, regs = [], [], []
+            n, digest, bands = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                regs.append(registers(s).tobytes())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "regs"])
+                bands.append(band_keys(s, percent).tobytes())
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands binary")
 
 
-def _bands(classes: DataFrame, rows: int) -> DataFrame:
+def _bands(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(np.frombuffer(r.as_buffer(), np.uint16), rows) for r in b.column(1)]
+            keys = [np.frombuffer(r.as_buffer(), np.int64) for r in b.column(1)]
             if keys:
                 ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["id", "band"])
 
-    return classes.select("id", "regs").mapInArrow(run, "id long, band long")
+    return classes.select("id", "bands").mapInArrow(run, "id long, band long")
 
 
 class Forest:
@@ -180,6 +208,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _divergence(x: np.ndarray, t: float) -> np.ndarray:
+    """Kullback-Leibler divergence of chances x under t from t; 0 for others."""
+    x = x.clip(1e-12, t)
+    return x * np.log(x / t) + (1 - x) * np.log((1 - x) / (1 - t)) if t < 1 else np.where(x < 1, np.inf, 0.0)
+
+
 def forest_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of all links, or of those from side 0 to side 1."""
     regs = np.stack([registers(s) for s in sets])
@@ -196,7 +230,7 @@ def forest_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
         used = (full[rest] | full[i]).sum(axis=1)
         same = ((regs[rest] == regs[i]) & full[i]).sum(axis=1)
         estimate = (same / used - COLLISION) / (1 - COLLISION)
-        rest = rest[estimate >= t - 6 * np.sqrt(t * (1 - t) / used) - 1e-9]
+        rest = rest[used * _divergence(estimate, t) <= RULED_OUT]
         for j in rest:
             if f.root(i) != f.root(j) and linked(sets[i], sets[j], percent):
                 f.up[f.root(i)] = f.root(j)
@@ -243,10 +277,10 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, pe
 def resolved(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, digest, component_id, kept for each row of docs."""
     bounded_batches(docs.sparkSession)
-    sig = written(signatures(docs, k), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("size"))
+    sig = written(signatures(docs, k, percent), "signatures")
+    classes = sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     classes = written(classes.where("id is not null"), "classes")
-    bands = _bands(classes, rows_for(percent / 100))
+    bands = _bands(classes)
     least = bands.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     stars = bands.join(least.withColumnRenamed("band", "l_band"), F.col("band") == F.col("l_band"))
     grouped = components(stars.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
