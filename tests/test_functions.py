@@ -136,3 +136,22 @@ def test_streaming_windows(spark, sf, tmp_path):
         assert spark.sql("SELECT sum(n) FROM w").first()[0] == batch.count()
     finally:
         q.stop()
+
+
+def plain_distance(u, v):
+    row = list(range(len(v) + 1))
+    for i, x in enumerate(u, 1):
+        new = [i]
+        for j, y in enumerate(v, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_of_all_neighbours(spark, sf):
+    from turnwise.plans import QUERIES
+
+    w = {r["item_id"]: r["text"].split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {i: plain_distance(w[i], w[i + 1]) for i in w if i + 1 in w}
+    assert any(len(w[i]) > 30 for i in want)
+    assert {r["ref"]: r["errors"] for r in QUERIES["token_edit_distance_all"](spark, sf).collect()} == want

@@ -134,7 +134,21 @@ dp(ref, hyp, r, h, i, row) AS (SELECT ref, hyp, r, h, 0, range(0, len(h) + 1) FR
    [least(row[j + 1] + 1, row[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END)])), lambda acc, x: list_concat(acc, [least(x[1], acc[len(acc)] + 1)]))) FROM dp WHERE i < len(r))
 SELECT ref, hyp, len(r)::BIGINT AS n_ref, row[len(h) + 1]::BIGINT AS errors, round(row[len(h) + 1] / len(r)::DOUBLE, 9) AS wer FROM dp WHERE i = len(r)""")
 def token_edit_distance(spark, d):
-    b = read(spark, d, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w")).where(F.size("w") <= 30)
+    """Items of up to 30 words, as in its SQL."""
+    return _neighbour_errors(_benchmark_words(spark, d).where(F.size("w") <= 30))
+
+
+@query()
+def token_edit_distance_all(spark, d):
+    """Items of any length, without SQL."""
+    return _neighbour_errors(_benchmark_words(spark, d))
+
+
+def _benchmark_words(spark, d):
+    return read(spark, d, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
+
+
+def _neighbour_errors(b):
     x, y = (b.select(F.col("item_id").alias(n), F.col("w").alias(f"{n}_w")) for n in ("ref", "hyp"))
 
     @F.pandas_udf("long")
