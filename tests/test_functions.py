@@ -155,3 +155,25 @@ def test_edit_distance_of_all_neighbours(spark, sf):
     want = {i: plain_distance(w[i], w[i + 1]) for i in w if i + 1 in w}
     assert any(len(w[i]) > 30 for i in want)
     assert {r["ref"]: r["errors"] for r in QUERIES["token_edit_distance_all"](spark, sf).collect()} == want
+
+
+def test_banded_distance_against_the_plain_one():
+    import random
+
+    from turnwise.functions.align import distance_within
+
+    r = random.Random(2)
+    for _ in range(400):
+        u = [r.choice("abcd") for _ in range(r.randrange(0, 60))]
+        v = [r.choice("abcd") if r.random() < 0.2 else x for x in u if r.random() > 0.1] + ["e"] * r.randrange(0, 4)
+        want = plain_distance(u, v)
+        for most in (0, 1, want - 1, want, want + 1, 70):
+            if most >= 0:
+                assert distance_within(u, v, most) == (want if want <= most else None), (u, v, most)
+
+
+def test_edit_guards_judge_every_document(spark, sf):
+    from turnwise.plans import QUERIES
+
+    n = sum(r["n"] for r in QUERIES["edit_guards"](spark, sf).collect())
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").count()

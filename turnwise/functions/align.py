@@ -68,6 +68,44 @@ def distance(ref: list[str], hyp: list[str]) -> int:
     return int(row[-1])
 
 
+def distance_within(ref: list[str], hyp: list[str], most: int) -> int | None:
+    """The distance if it is at most ``most``, else None: by a band that doubles until it holds the answer."""
+    a, b = _coded(ref, hyp)
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:short] != b[:short])
+    head = int(unlike[0]) if len(unlike) else short
+    a, b = a[head:], b[head:]
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
+    tail = int(unlike[0]) if len(unlike) else short
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    n, m = len(a), len(b)
+    # words that one side has more of need a change each
+    more = np.bincount(a, minlength=int(max(a.max(initial=0), b.max(initial=0))) + 1)
+    more = more - np.bincount(b, minlength=len(more))
+    if max(int(more[more > 0].sum()), int(-more[more < 0].sum())) > most:
+        return None
+    k = min(max(16, abs(n - m)), most)
+    while True:
+        far, off = n + m + 1, np.arange(2 * k + 1)
+        padded = np.full(n + m + 4 * k + 2, -1, np.int64)
+        padded[k : k + m] = b
+        row = np.where((off >= k) & (off <= k + m), off - k, far)
+        for i in range(1, n + 1):
+            j = off + i - k
+            best = row + (padded[i - 1 : i + 2 * k] != a[i - 1])
+            best[:-1] = np.minimum(best[:-1], row[1:] + 1)
+            best[(j < 0) | (j > m)] = far
+            row = np.minimum.accumulate(best - off) + off
+            row[(j < 0) | (j > m)] = far
+        found = int(row[m - n + k])
+        if found <= k:
+            return found
+        if k >= most:
+            return None
+        k = min(2 * k, most)
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row at the least total cost: shortest augmenting paths, n cubed; ties to the left."""
     cost = np.asarray(cost, float)

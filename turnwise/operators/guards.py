@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.align import align
+from turnwise.functions.align import align, distance_within
 from turnwise.schemas import TRUTH_PREFIXES
 
 
@@ -54,8 +54,11 @@ def selected(df: DataFrame, only: list[str] | None, limit: int | None, order: li
 
 
 def edit_verdict(before: Column, after: Column, licensed: Column) -> Column:
-    """STRUCT<ok, reason> for an edited text: empty, grown, more Latin than before, or more changes at
-    places without a licence (ARRAY<INT>) than a quarter of its words."""
+    """STRUCT<ok, reason> for an edited text: empty, more Latin than before, grown, or more changes at places without a licence (ARRAY<INT>)
+    than a quarter of its words.
+
+    A banded distance tells first whether that many changes are needed; words are aligned only where places
+    have a licence and the distance leaves it open."""
 
     @F.pandas_udf("ok boolean, reason string")
     def run(a: pd.Series, b: pd.Series, free: pd.Series) -> pd.DataFrame:
@@ -66,13 +69,19 @@ def edit_verdict(before: Column, after: Column, licensed: Column) -> Column:
             u, v = (x or "").split(), (y or "").split()
             if u and not v:
                 return False, "empty"
-            if len(v) > 1.05 * len(u) + 1:
-                return False, "growth"
             if latin(v) - latin(u) > 0.10:
                 return False, "latin"
+            if len(v) > 1.05 * len(u) + 1:
+                return False, "growth"
             places = set(places if places is not None else [])
-            changed = sum(op != "C" and (i not in places) for op, i, _ in align(u, v))
-            return (False, "unlicensed") if changed > max(1, math.ceil(0.25 * len(u))) else (True, "ok")
+            budget = max(1, math.ceil(0.25 * len(u)))
+            if not places and len(u) == len(v) and sum(p != q for p, q in zip(u, v)) <= budget:
+                return True, "ok"
+            # a place licenses one change at most
+            if distance_within(u, v, budget + len(places)) is None:
+                return False, "unlicensed"
+            changed = sum(op != "C" and (i not in places) for op, i, _ in align(u, v)) if places else 0
+            return (False, "unlicensed") if changed > budget else (True, "ok")
 
         return pd.DataFrame([one(*t) for t in zip(a, b, free)], columns=["ok", "reason"])
 
