@@ -177,3 +177,27 @@ def test_edit_guards_judge_every_document(spark, sf):
 
     n = sum(r["n"] for r in QUERIES["edit_guards"](spark, sf).collect())
     assert n == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_edit_verdict_scripts_growth_and_budget(spark):
+    from pyspark.sql import functions as F
+
+    from turnwise.operators import guards
+
+    long = " ".join(f"w{i}" for i in range(100))
+    hindi = "नमस्कार दुनिया " * 20
+    cases = [
+        (long, long.replace("w50", "नमस्ते"), [], "script"),
+        (hindi, hindi + "வணக்கம்", [], "new_script"),
+        (hindi, hindi, [], "ok"),
+        ("a b c", "a b c d e", [], "ok"),  # ceil(1.05 * 3) + 1 = 5
+        ("a b c", "a b c d e f", [], "growth"),
+        (long, " ".join(f"x{i}" if i < 25 else f"w{i}" for i in range(100)), [], "ok"),
+        (long, " ".join(f"x{i}" if i < 26 else f"w{i}" for i in range(100)), [], "unlicensed"),
+        (long, " ".join(f"x{i}" if i < 26 else f"w{i}" for i in range(100)), [0], "ok"),
+        (long, " ".join(f"x{i}" if i < 26 else f"w{i}" for i in range(100)), [90], "unlicensed"),
+    ]
+    df = spark.createDataFrame([(i, a, b, p) for i, (a, b, p, _) in enumerate(cases)], "i int, a string, b string, p array<int>")
+    got = df.select("i", guards.edit_verdict(F.col("a"), F.col("b"), F.col("p")).alias("v")).orderBy("i").collect()
+    # the case of three words and two more exceeds the budget of one change
+    assert [r["v"]["reason"] for r in got] == ["unlicensed" if i == 3 else c[3] for i, c in enumerate(cases)]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.align import align, distance_within
+from turnwise.functions.text import SCRIPTS
 from turnwise.schemas import TRUTH_PREFIXES
 
 
@@ -53,8 +54,21 @@ def selected(df: DataFrame, only: list[str] | None, limit: int | None, order: li
     return df.orderBy(*order).limit(limit) if limit is not None else df
 
 
+def _script(text: str) -> str:
+    """The script of SCRIPTS with the most letters, on ties the first met; Latin if there is none."""
+    seen: dict[str, int] = {}
+    if not text.isascii():
+        for c in text:
+            if c >= "\u0600" and c.isalpha():
+                name = next((s for s, (lo, hi) in SCRIPTS.items() if lo <= ord(c) <= hi), None)
+                if name:
+                    seen[name] = seen.get(name, 0) + 1
+    return max(seen, key=seen.get, default="Latin")
+
+
 def edit_verdict(before: Column, after: Column, licensed: Column) -> Column:
-    """STRUCT<ok, reason> for an edited text: empty, more Latin than before, grown, or more changes at places without a licence (ARRAY<INT>)
+    """STRUCT<ok, reason> for an edited text: empty, of another script, more Latin than before, grown,
+    with a token of a script that no token had, or more changes at places without a licence (ARRAY<INT>)
     than a quarter of its words.
 
     A banded distance tells first whether that many changes are needed; words are aligned only where places
@@ -69,10 +83,14 @@ def edit_verdict(before: Column, after: Column, licensed: Column) -> Column:
             u, v = (x or "").split(), (y or "").split()
             if u and not v:
                 return False, "empty"
+            if u and _script(x) != _script(y):
+                return False, "script"
             if latin(v) - latin(u) > 0.10:
                 return False, "latin"
-            if len(v) > 1.05 * len(u) + 1:
+            if len(v) > math.ceil(1.05 * len(u)) + 1:
                 return False, "growth"
+            if u and {_script(w) for w in v} - {_script(w) for w in u}:
+                return False, "new_script"
             places = set(places if places is not None else [])
             budget = max(1, math.ceil(0.25 * len(u)))
             if not places and len(u) == len(v) and sum(p != q for p, q in zip(u, v)) <= budget:
