@@ -201,3 +201,10 @@ def test_edit_verdict_scripts_growth_and_budget(spark):
     got = df.select("i", guards.edit_verdict(F.col("a"), F.col("b"), F.col("p")).alias("v")).orderBy("i").collect()
     # the case of three words and two more exceeds the budget of one change
     assert [r["v"]["reason"] for r in got] == ["unlicensed" if i == 3 else c[3] for i, c in enumerate(cases)]
+
+
+def test_fused_turns_takes_every_event(spark, sf, monkeypatch):
+    from turnwise.plans import text_queries
+
+    monkeypatch.setattr(text_queries.fusion, "fused", lambda t, systems, clips: t)
+    assert text_queries.fused_turns(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
