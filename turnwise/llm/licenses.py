@@ -1,4 +1,4 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates, containment verifies.
+"""License scans: exact shingles find overlapping text windows, MinHash bands test them again, containment verifies.
 
 Words are runs of letters and digits in lower case, shingles are five words. For a template of n
 shingles, windows of 2n shingles start at every n-th, so that each passage as long as the template lies
@@ -26,7 +26,7 @@ from turnwise.llm.common import text_of
 
 SHINGLE, BANDS, CONTAINED = 5, 48, 0.8
 
-#: Notices as licensors publish them.
+#: Names and openings of notices, cut short; other licences, LGPL, MPL, ISC and CC-BY-SA among them, have none.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": (
