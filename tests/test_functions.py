@@ -208,3 +208,10 @@ def test_fused_turns_takes_every_event(spark, sf, monkeypatch):
 
     monkeypatch.setattr(text_queries.fusion, "fused", lambda t, systems, clips: t)
     assert text_queries.fused_turns(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_token_lookup_of_every_language(spark, sf):
+    from turnwise.plans import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(r"text rlike '\\S'")
+    assert QUERIES["token_lookup_all"](spark, sf).count() == docs.count() > docs.where("lang = 'en'").count()

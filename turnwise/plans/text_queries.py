@@ -96,12 +96,26 @@ def word_streams(spark, d):
     return tk.word_stream(read(spark, d, "conversations"), ["conv_id"], "role", "turn", "turn", tx.tokens(F.col("text")))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS token, generate_subscripts({WORDS.format(c='text')}, 1) AS p FROM documents WHERE lang = 'en'),
+_LOOKUP = rf"""WITH t AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS token, generate_subscripts({WORDS.format(c='text')}, 1) AS p FROM documents WHERE lang = 'en'),
 x AS (SELECT DISTINCT token, upper(token) AS repl FROM t WHERE token IN ('the', 'of', 'and', 'idiot')),
 j AS (SELECT doc_id, p, coalesce(repl, token) AS n, (repl IS NOT NULL)::INT AS hit FROM t LEFT JOIN x USING (token))
-SELECT doc_id, md5(string_agg(n, ' ' ORDER BY p)) AS text, sum(hit)::BIGINT AS n_changed FROM j GROUP BY doc_id""")
+SELECT doc_id, md5(string_agg(n, ' ' ORDER BY p)) AS text, sum(hit)::BIGINT AS n_changed FROM j GROUP BY doc_id"""
+
+
+@query(_LOOKUP)
 def token_lookup(spark, d):
-    t = tk.exploded(read(spark, d, "documents").where("lang = 'en'"), tx.tokens(F.col("text")), "doc_id")
+    """English documents, as in its SQL."""
+    return _documents_looked_up(spark, read(spark, d, "documents").where("lang = 'en'"))
+
+
+@query(_LOOKUP.replace(" WHERE lang = 'en'", ""))
+def token_lookup_all(spark, d):
+    """Documents of any language or none."""
+    return _documents_looked_up(spark, read(spark, d, "documents"))
+
+
+def _documents_looked_up(spark, docs):
+    t = tk.exploded(docs, tx.tokens(F.col("text")), "doc_id")
     table = spark.createDataFrame([(w, w.upper()) for w in ("the", "of", "and", "idiot")], "token string, repl string")
     j = tk.looked_up(t, table, ["token"])
     n = j.groupBy("doc_id").agg(F.count("repl").alias("n_changed"))
