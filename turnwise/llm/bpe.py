@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import bounded_batches, text_of
-from turnwise.llm.encoder import PATTERN, is_plain, latin, plain_pieces, slices
+from turnwise.llm.encoder import PATTERN, distinct, is_plain, latin, mixed_bits, piece_keys, plain_pieces, slices
 
 CHUNK = 1_000_000  # characters
 KNOWN = 1_000_000  # words
@@ -142,17 +142,45 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Words:
-    """Numbers words in the order in which a task meets them.
+    """Numbers words in the order in which a task meets them, told apart by their bytes.
 
-    Plain texts are cut by numpy and their words known by 64-bit hashes, the others by the pattern."""
+    Plain texts are cut by numpy, and their words of up to 15 bytes held as two integers each, in the order
+    of a hash; the others are cut by the pattern and, like long words, held in a dict."""
 
     def __init__(self, pattern: str):
         self.fast = pattern == PATTERN
         self.find = regex.compile(pattern).findall
         self.count = 0
-        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.hashes, self.low, self.high = (np.empty(0, np.uint64) for _ in range(3))
+        self.numbers = np.empty(0, np.int32)
         self.others: dict[str, int] = {}
 
+    def _other(self, word: str, new: list[bytes]) -> int:
+        if word not in self.others:
+            self.others[word] = self.count
+            self.count += 1
+            new.append(word.encode())
+        return self.others[word]
+
+    def _short(self, low: np.ndarray, high: np.ndarray, short: np.ndarray, words: list[bytes], new: list[bytes]) -> np.ndarray:
+        """Numbers of words by their two integers; -1 where they are not short, or meet another word's hash."""
+        h = mixed_bits(low + mixed_bits(high))
+        at = np.searchsorted(self.hashes, h)
+        met = at < len(self.hashes)
+        met[met] = self.hashes[at[met]] == h[met]
+        known = met & short
+        known[known] = (self.low[at[known]] == low[known]) & (self.high[at[known]] == high[known])
+        number = np.full(len(h), -1, np.int32)
+        number[known] = self.numbers[at[known]]
+        fresh = np.flatnonzero(short & ~met)
+        fresh = fresh[np.unique(h[fresh], return_index=True)[1]]
+        number[fresh] = self.count + np.arange(len(fresh), dtype=np.int32)
+        self.count += len(fresh)
+        new += [words[i].decode("latin-1").encode() for i in fresh.tolist()]
+        for name, of in (("numbers", number), ("low", low), ("high", high), ("hashes", h)):
+            setattr(self, name, np.insert(getattr(self, name), at[fresh], of[fresh]))
+        return number
+
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[bytes]]:
         """Numbers of all words one after the other, how many each text has, and the new words."""
         parts: list = [np.empty(0, np.int32)] * len(texts)
@@ -161,31 +189,20 @@ class Words:
             raw = latin(t) if self.fast and is_plain(t) else None
             if raw is not None:
                 plain[i] = raw
-                continue
-            found = self.find(t)
-            for w in dict.fromkeys(found):
-                if w not in self.others:
-                    self.others[w] = self.count
-                    self.count += 1
-                    new.append(w.encode())
-            parts[i] = np.array([self.others[w] for w in found], np.int32)
         if plain:
-            raw, s, ends, opens, h = plain_pieces(list(plain.values()))
-            h, first, which = np.unique(h, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.hashes, h)
-            known = np.zeros(len(h), bool)
-            inside = at < len(self.hashes)
-            known[inside] = self.hashes[at[inside]] == h[inside]
-            number = np.empty(len(h), np.int32)
-            number[known] = self.numbers[at[known]]
-            fresh = np.flatnonzero(~known)
-            number[fresh] = self.count + np.arange(len(fresh), dtype=np.int32)
-            self.count += len(fresh)
-            new += [raw[x:y].decode("latin-1").encode() for x, y in zip(s[first[fresh]].tolist(), ends[first[fresh]].tolist())]
-            self.hashes = np.insert(self.hashes, at[fresh], h[fresh])
-            self.numbers = np.insert(self.numbers, at[fresh], number[fresh])
+            raw, s, ends, opens = plain_pieces(list(plain.values()))
+            first, which = distinct(raw, s, ends)
+            begin, end = s[first], ends[first]
+            words = [raw[x:y] for x, y in zip(begin.tolist(), end.tolist())]
+            number = self._short(*piece_keys(raw, begin, end), end - begin <= 15, words, new)
+            for i in np.flatnonzero(number < 0).tolist():
+                number[i] = self._other(words[i].decode("latin-1"), new)
             for i, part in zip(plain, np.split(number[which], np.searchsorted(s, opens[1:]))):
                 parts[i] = part
+        # by numbers: a short word may be held in both ways, and is then encoded twice, to the same ids
+        for i, t in enumerate(texts):
+            if i not in plain:
+                parts[i] = np.array([self._other(w, new) for w in self.find(t)], np.int32)
         return np.concatenate(parts), [len(p) for p in parts], new
 
 

@@ -4,8 +4,8 @@ A byte-level tokenizer cuts a text by its pattern and merges within the pieces o
 those of its pieces, one after the other. ``PieceEncoder`` keeps the ids of pieces in a bounded memo of
 the worker and hands only new ones to the library, most of them joined to one long text whose ids are
 cut up again by the lengths of their bytes. Plain texts (Latin-1, single white space, no apostrophe) are
-cut into pieces, and the pieces found in the memo, by numpy over many texts at once; the memo's keys are
-64-bit hashes. Texts that hold a special token or a character beyond
+cut into pieces by numpy over many texts at once. Pieces are told apart by their bytes, in the memo and
+within a slice of texts; hashes only sort them. Texts that hold a special token or a character beyond
 Latin-1 (where Unicode tables of two libraries might differ) go to the library as a whole, as do all
 texts if the tokenizer is built in another way. ``tests/llm`` compare both ways on whole texts.
 """
@@ -21,10 +21,6 @@ import regex
 
 END_ID = 2
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_rng = np.random.default_rng(20240612)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _encoders: dict[str, "PieceEncoder | SentencePieces"] = {}
 
 
@@ -48,9 +44,9 @@ def is_plain(text: str) -> bool:
     return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _ODD(text)
 
 
-def plain_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pattern's pieces of plain texts in Latin-1: the texts joined, where pieces begin and end, where
-    texts begin, and a hash of each piece."""
+def plain_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The pattern's pieces of plain texts in Latin-1: the texts joined, where pieces begin and end, and
+    where texts begin."""
     raw = b"".join(texts)
     b = np.frombuffer(raw, np.uint8)
     size = np.array([len(t) for t in texts])
@@ -63,7 +59,7 @@ def plain_pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.
     start[opens] = True
     s = np.flatnonzero(start)
     ends = np.append(s[1:], len(b))
-    return raw, s, ends, opens, hashes(b, s, ends)
+    return raw, s, ends, opens
 
 
 class PieceEncoder:
@@ -98,23 +94,23 @@ class PieceEncoder:
         for token, i in made["model"]["vocab"].items() if self.by_piece else ():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
-        self.by_hash: dict[int, bytes] = {}
+        self.by_bytes: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
-        raw, s, ends, opens, h = plain_pieces(texts)
-        h, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.by_hash) > self.MEMO:
-            self.by_hash.clear()
-        found = list(map(self.by_hash.get, h.tolist()))
+        raw, s, ends, opens = plain_pieces(texts)
+        first, which = distinct(raw, s, ends)
+        if len(self.by_bytes) > self.MEMO:
+            self.by_bytes.clear()
+        keys = [raw[x:y] for x, y in zip(s[first].tolist(), ends[first].tolist())]
+        found = list(map(self.by_bytes.get, keys))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
-            begin, end = s[first[new]].tolist(), ends[first[new]].tolist()
-            pieces = [raw[x:y].decode("latin-1") for x, y in zip(begin, end)]
+            pieces = [keys[i].decode("latin-1") for i in new]
             ids = self._learn(pieces)
-            for i, p, key in zip(new, pieces, h[new].tolist()):
+            for i, p in zip(new, pieces):
                 found[i] = ids[p]
                 if len(p) <= self.LONG:
-                    self.by_hash[key] = ids[p]
+                    self.by_bytes[keys[i]] = ids[p]
         n = np.array([len(x) for x in found]) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(found), self.dtype)
         each = n[which]
@@ -183,16 +179,39 @@ class PieceEncoder:
         return out
 
 
-def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pieces of b: differences of one running polynomial, moved to power 0."""
-    if len(_powers[0]) < len(b) + 1:
-        for k, r in enumerate((_R, np.uint64(pow(int(_R), -1, 2**64)))):
-            step = np.full(len(b) + (1 << 20), r, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _powers[0][: len(b)], out=run[1:])
-    return (run[ends] - run[starts]) * _powers[1][starts]
+#: What keeps the last bytes of a word of eight, for each length.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def piece_keys(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves for each piece of raw, alike only for pieces of the same bytes: up to 15 bytes and
+    the length; of longer ones a number among the distinct ones here."""
+    at = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(24), strides=(1,))  # eight bytes from each place
+    size = ends - starts
+    low = at[starts] & _KEEP[np.minimum(size, 8)]
+    more = np.clip(size - 8, 0, 7)
+    high = at[np.minimum(starts + 8, len(raw))] & _KEEP[more] | size.astype(np.uint64) << np.uint64(56)
+    longer = np.flatnonzero(size > 15)
+    if len(longer):
+        names: dict[bytes, int] = {}
+        low[longer] = [names.setdefault(raw[x:y], len(names)) for x, y in zip(starts[longer].tolist(), ends[longer].tolist())]
+        high[longer] = np.uint64(255 << 56)
+    return low, high
+
+
+def distinct(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pieces of raw: a place of each distinct one, and which of these each piece is."""
+    low, high = piece_keys(raw, starts, ends)
+    _, first, which = np.unique(mixed_bits(low + mixed_bits(high)), return_index=True, return_inverse=True)
+    if (low[first][which] != low).any() or (high[first][which] != high).any():  # a hash of two pieces
+        _, first, which = np.unique(np.stack([low, high], 1), axis=0, return_index=True, return_inverse=True)
+    return first, which.reshape(-1)
 
 
 class SentencePieces:
