@@ -1,8 +1,9 @@
 """Connected components of a links table by alternating large-star and small-star steps.
 
-Every step aggregates and joins by node, with partial aggregation, so a node with very many links is
-split; rounds are logarithmic in practice. Each round is written to shared storage, which cuts the
-lineage. Nothing is collected but a round's row count and checksum.
+A node with very many links is dealt over SALT tasks by a hash of the other end: least ends are taken
+for each part, then for the node, and given back to the parts that it has. Rounds are logarithmic in
+practice; each is written to shared storage, which cuts the lineage. Nothing is collected but a round's
+row count and checksum.
 """
 
 from __future__ import annotations
@@ -13,22 +14,28 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """For each u the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return least.select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
+SALT = 16
+
+
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m), m the least of u and all its v; and (u, m) alone."""
+    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int").alias("s"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy(F.col("u").alias("mu")).agg(F.min("m").alias("m"), F.collect_list("s").alias("ss"))
+    least = least.select("mu", F.least("mu", "m").alias("m"), "ss")
+    each = least.select("mu", "m", F.explode("ss").alias("ms"))
+    return salted.join(each, (F.col("u") == F.col("mu")) & (F.col("s") == F.col("ms"))).select("u", "v", "m"), least.select("mu", "m")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_least(both), F.col("u") == F.col("mu"))
-    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both)[0].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    moved = down.join(least, F.col("u") == F.col("mu")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined, least = _with_least(down)
+    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select(F.col("mu").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(own).where("u <> v").distinct()
 
