@@ -11,7 +11,8 @@ Tasks give out counts of links and the links of a spanning forest.
 
 Vectors alike in every bit form a class and are compared once. Vectors that are null, empty, zero, or
 hold null or non-finite components, null labels, and vectors of different lengths link with nothing.
-Repeated vec_ids are told apart by their vectors; null vec_ids take part; an empty table gives no rows.
+Repeated vec_ids are told apart by their labels and vectors; null vec_ids take part and link others, and a
+component of them alone has a null id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -170,10 +171,11 @@ def resolved(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = written(_classed(vectors, cosine), "vectors")
     same = ["label", "digest"]
     classes = rows.where("digest is not null").groupBy(*same).agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("slabs").alias("slabs")
+        F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("slabs").alias("slabs")
     )
-    classes = written(classes, "vector-classes")
-    found = written(links(classes.where("id is not null"), cosine), "vector-links")
+    # ids of their own, given as the table is written: vec_ids may be null or repeated
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "vector-classes")
+    found = written(links(classes, cosine), "vector-links")
     counts = found.where("id is not null").groupBy(F.col("id").alias("l_id")).agg(F.sum("n").alias("links"))
     comp = components(found.where("u is not null").select("u", "v"))
     of_class = classes.join(counts, F.col("id") == F.col("l_id"), "left").join(comp, F.col("id") == F.col("node"), "left")
@@ -181,8 +183,11 @@ def resolved(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         F.col("label").alias("c_label"),
         F.col("digest").alias("c_digest"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component"),
+        F.coalesce("component", "id").alias("c"),
+        "least",
     )
+    leasts = of_class.groupBy(F.col("c").alias("r_c")).agg(F.min("least").alias("component"))
+    of_class = of_class.drop("least").join(leasts, F.col("c") == F.col("r_c"))
     out = rows.select("vec_id", *same).join(
         of_class, (F.col("label") == F.col("c_label")) & (F.col("digest") == F.col("c_digest")), "left"
     )
