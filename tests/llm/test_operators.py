@@ -89,6 +89,37 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert np.frombuffer(got, e.dtype).tolist() == want.ids
 
 
+def thue_morse(n):
+    """Words of two letters and their complements, which collide under any running polynomial modulo 2^64."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch):
+    lib = Tokenizer.from_file(JSON)
+    for n in (16, 1024, 2048, 4096):
+        x, y = thue_morse(n)
+        texts = [x, y, f"{x} {y}", f"é{y} {x}", "".join(["ab\0", "ab"])]
+        e = encoder.PieceEncoder(JSON)
+        for got, t in zip(e.encode(texts), texts):
+            assert np.frombuffer(got, e.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+        first, *rest = bpe.Words(public_tokenizers.PATTERN).numbered([x, y])[0].tolist()
+        assert [first] != rest
+        assert near_dedup.word_hashes(x) != near_dedup.word_hashes(y)
+    # even where hashes say nothing
+    texts = [" ".join(f"w{i % 97} longer{i % 89}thanfifteenbytes" for i in range(k, k + 400)) for k in range(3)]
+    monkeypatch.setattr(encoder, "mixed_bits", lambda h: h & np.uint64(3))
+    monkeypatch.setattr(bpe, "mixed_bits", lambda h: h & np.uint64(3))
+    e, words, new = encoder.PieceEncoder(JSON), bpe.Words(public_tokenizers.PATTERN), []
+    for t, got in zip(texts, e.encode(texts)):
+        assert np.frombuffer(got, e.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+        at, _, fresh = words.numbered([t])
+        new += fresh
+        assert b"".join(new[i] for i in at) == t.encode()
+
+
 # 2 ---------------------------------------------------------------------------------------------------------
 
 
@@ -206,6 +237,26 @@ def test_bands_across_the_sparse_limit(monkeypatch):
             assert set(near_dedup.band_keys(s, 85)) & set(near_dedup.band_keys(np.sort(part), 85))
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """Rows without an id link others; texts of one id are each linked; of a component of null ids one stays."""
+    r = random.Random(21)
+    a, c, z = ([f"v{r.randrange(10**9)}" for _ in range(60)] for _ in range(3))
+    less = lambda w, n: " ".join(w[n:])
+    x, y = thue_morse(2048)
+    docs = [(7, less(a, 0)), (None, less(a, 6)), (8, less(a, 11)), (5, less(c, 0)), (5, less(z, 0)), (2, less(c, 3)), (None, less(z, 2))]
+    docs += [(None, f"alone {i} {r.randrange(10**9)} in its own way of words") for i in range(60)] + [(None, "the same text here twice")] * 2
+    docs += [(31, f"{x} and some more words"), (30, f"{y} and some more words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 85), (5, 80)):
+        want = brute_components(docs, k, percent)
+        got = near_dedup.resolved(df, k, percent).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+    assert dict((i, c) for i, _, c in want if i in (7, 8, 30, 31)) == {7: 7, 8: 7, 30: 30, 31: 31}
+    rows = [tuple(r) for r in near_dedup.one_of_each(df).collect()]
+    assert sorted((r for r in rows if r[0] is not None), key=repr) == sorted([(7, less(a, 0)), (2, less(c, 3)), (5, less(z, 0)), docs[-2], docs[-1]], key=repr)
+    assert len([r for r in rows if r[0] is None]) == 61
+
+
 def test_near_copies_awkward(awkward, empty):
     assert near_dedup.resolved(empty).count() == 0
     one = near_dedup.one_of_each(awkward)
@@ -284,6 +335,14 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.resolved(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_null_and_repeated_ids(spark):
+    turn = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    rows = [(1, turn(0.0), 0), (None, turn(0.1), 0), (9, turn(2.0), 1), (5, turn(0.0), 2), (5, turn(0.05), 2), (6, turn(0.1), 2), (None, turn(1.0), 3), (None, turn(1.0), 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"]) for x in embedding_dedup.resolved(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (None, 1, 1), (9, 0, 9), (5, 2, 5), (5, 2, 5), (6, 2, 5), (None, 1, None), (None, 1, None)], key=repr)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------
 
 
@@ -349,7 +408,7 @@ def test_words_are_numbered_anew(awkward, monkeypatch):
 
 
 def test_mixing_against_sql(awkward, empty):
-    docs = awkward.where("doc_id <> 1 or doc_id is null").select("doc_id", "text", "source")
+    docs = awkward.select("doc_id", "text", "source")
     got = [tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in in_order(mixing.taken(docs))]
     want = [tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in by_sql(mixing.OP9_SQL, documents=docs)]
     assert got == want
@@ -368,6 +427,20 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert words == t.agg(F.sum("taken")).first()[0] and mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_among_rows_of_one_id(spark):
+    """The cut falls among texts of one id, among rows without one, and among rows alike in all."""
+    texts = {"a": [(1, f"w{i} " * 10) for i in range(100)], "b": [(None, f"w{i} " * 10) for i in range(100)], "c": [(None, "x " * 10)] * 100}
+    docs = [(i, t, s) for s, rows in texts.items() for i, t in rows]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    got = mixing.taken(df)
+    by = {r["target"]: r["n"] for r in got.groupBy("target").agg(F.sum("taken").alias("n")).collect()}
+    assert all(abs(n - t) <= 5 for t, n in by.items()) and sum(by.values()) in range(4480, 4521)
+    want = by_sql(mixing.OP9_SQL, documents=df)
+    near = lambda rows: [tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in rows]
+    assert near(in_order(got)) == near(want)
+    assert mixing.mixed(df).agg(F.sum(mixing.size_of())).first()[0] == sum(by.values())
+
+
 # 10 --------------------------------------------------------------------------------------------------------
 
 
