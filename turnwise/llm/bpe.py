@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import bounded_batches, text_of
-from turnwise.llm.encoder import PATTERN, distinct, is_plain, latin, mixed_bits, piece_keys, plain_pieces, slices
+from turnwise.llm.encoder import PATTERN, SHORT, distinct, is_plain, latin, mixed_bits, piece_keys, plain_pieces, slices
 
 CHUNK = 1_000_000  # characters
 KNOWN = 1_000_000  # words
@@ -191,10 +191,11 @@ class Words:
                 plain[i] = raw
         if plain:
             raw, s, ends, opens = plain_pieces(list(plain.values()))
-            first, which = distinct(raw, s, ends)
+            low, high = piece_keys(raw, s, ends)
+            first, which = distinct(low, high)
             begin, end = s[first], ends[first]
             words = [raw[x:y] for x, y in zip(begin.tolist(), end.tolist())]
-            number = self._short(*piece_keys(raw, begin, end), end - begin <= 15, words, new)
+            number = self._short(low[first], high[first], end - begin <= SHORT, words, new)
             for i in np.flatnonzero(number < 0).tolist():
                 number[i] = self._other(words[i].decode("latin-1"), new)
             for i, part in zip(plain, np.split(number[which], np.searchsorted(s, opens[1:]))):

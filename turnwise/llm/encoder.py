@@ -77,8 +77,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        special = [re.escape(x["content"]) for x in made.get("added_tokens", [])]
-        self.special = re.compile("|".join(special)).search if special else lambda text: None
+        self.special = [x["content"] for x in made.get("added_tokens", [])]
         cut = made.get("pre_tokenizer") or {}
         self.by_piece = (
             made.get("normalizer") is None
@@ -94,28 +93,57 @@ class PieceEncoder:
         for token, i in made["model"]["vocab"].items() if self.by_piece else ():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes] = {}
-        self.by_bytes: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The memo of plain texts: short pieces as two integers each, in the order of a hash, long ones by
+        their bytes; and where their ids stand in the pool, and how many."""
+        self.hashes, self.low, self.high = (np.empty(0, np.uint64) for _ in range(3))
+        self.spans = np.empty((0, 2), np.int64)
+        self.longer: dict[bytes, tuple[int, int]] = {}
+        self.pool = np.empty(0, self.dtype)
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         raw, s, ends, opens = plain_pieces(texts)
-        first, which = distinct(raw, s, ends)
-        if len(self.by_bytes) > self.MEMO:
-            self.by_bytes.clear()
-        keys = [raw[x:y] for x, y in zip(s[first].tolist(), ends[first].tolist())]
-        found = list(map(self.by_bytes.get, keys))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            pieces = [keys[i].decode("latin-1") for i in new]
-            ids = self._learn(pieces)
-            for i, p in zip(new, pieces):
-                found[i] = ids[p]
-                if len(p) <= self.LONG:
-                    self.by_bytes[keys[i]] = ids[p]
-        n = np.array([len(x) for x in found]) // self.dtype.itemsize
-        pool = np.frombuffer(b"".join(found), self.dtype)
-        each = n[which]
+        low, high = piece_keys(raw, s, ends)
+        first, which = distinct(low, high)
+        begin, end, low, high = s[first], ends[first], low[first], high[first]
+        if len(self.hashes) + len(self.longer) > self.MEMO or len(self.pool) > 8 * self.MEMO:
+            self._forget()
+        short = end - begin <= SHORT
+        h = mixed_bits(low + mixed_bits(high))
+        at = np.searchsorted(self.hashes, h)
+        met = at < len(self.hashes)
+        met[met] = self.hashes[at[met]] == h[met]
+        known = met & short
+        known[known] = (self.low[at[known]] == low[known]) & (self.high[at[known]] == high[known])
+        spans = np.full((len(first), 2), -1, np.int64)
+        spans[known] = self.spans[at[known]]
+        keys: dict[int, bytes] = {}
+        for i in np.flatnonzero(~known).tolist():
+            key = raw[begin[i] : end[i]]
+            if not short[i] and key in self.longer:
+                spans[i] = self.longer[key]
+            else:
+                keys[i] = key
+        if keys:
+            ids = self._learn([k.decode("latin-1") for k in keys.values()])
+            parts = [ids[k.decode("latin-1")] for k in keys.values()]
+            n = np.array([len(p) for p in parts]) // self.dtype.itemsize
+            spans[list(keys), 0], spans[list(keys), 1] = len(self.pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([self.pool, np.frombuffer(b"".join(parts), self.dtype)])
+            # only short pieces, and long ones up to LONG bytes, are kept; none whose hash is another's
+            fresh = np.flatnonzero(short & ~met)
+            fresh = fresh[np.unique(h[fresh], return_index=True)[1]]
+            for name, of in (("low", low), ("high", high), ("spans", spans), ("hashes", h)):
+                setattr(self, name, np.insert(getattr(self, name), at[fresh], of[fresh], axis=0))
+            self.longer.update((k, tuple(spans[i].tolist())) for i, k in keys.items() if SHORT < len(k) <= self.LONG)
+            self.pool = pool
+        else:
+            pool = self.pool
+        each = spans[which, 1]
         upto = np.cumsum(each)
-        at = np.repeat((np.cumsum(n) - n)[which] - (upto - each), each)
+        at = np.repeat(spans[which, 0] - (upto - each), each)
         at += np.arange(len(at))
         out, width = pool[at].tobytes(), self.dtype.itemsize
         cuts = (np.append((upto - each)[np.searchsorted(s, opens)], len(at)) * width).tolist()
@@ -149,7 +177,7 @@ class PieceEncoder:
         plain: dict[int, bytes] = {}
         easy, hard = [], []
         for i, t in enumerate(texts):
-            raw = None if not self.by_piece or self.special(t) else latin(t)
+            raw = None if not self.by_piece or any(x in t for x in self.special) else latin(t)
             if raw is None:
                 hard.append(i)
             elif is_plain(t):
@@ -179,8 +207,9 @@ class PieceEncoder:
         return out
 
 
-#: What keeps the last bytes of a word of eight, for each length.
+#: What keeps the first bytes of a word of eight, for each length.
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+SHORT = 15  # bytes that, with their number, fit two integers
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
@@ -197,7 +226,7 @@ def piece_keys(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     low = at[starts] & _KEEP[np.minimum(size, 8)]
     more = np.clip(size - 8, 0, 7)
     high = at[np.minimum(starts + 8, len(raw))] & _KEEP[more] | size.astype(np.uint64) << np.uint64(56)
-    longer = np.flatnonzero(size > 15)
+    longer = np.flatnonzero(size > SHORT)
     if len(longer):
         names: dict[bytes, int] = {}
         low[longer] = [names.setdefault(raw[x:y], len(names)) for x, y in zip(starts[longer].tolist(), ends[longer].tolist())]
@@ -205,11 +234,10 @@ def piece_keys(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return low, high
 
 
-def distinct(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pieces of raw: a place of each distinct one, and which of these each piece is."""
-    low, high = piece_keys(raw, starts, ends)
+def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of these keys: a place of each distinct one, and which of these each key is."""
     _, first, which = np.unique(mixed_bits(low + mixed_bits(high)), return_index=True, return_inverse=True)
-    if (low[first][which] != low).any() or (high[first][which] != high).any():  # a hash of two pieces
+    if (low[first][which] != low).any() or (high[first][which] != high).any():  # a hash of two keys
         _, first, which = np.unique(np.stack([low, high], 1), axis=0, return_index=True, return_inverse=True)
     return first, which.reshape(-1)
 

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import bounded_batches, text_of, written
 from turnwise.llm.components import components
+from turnwise.llm.encoder import SHORT
 from turnwise.llm.encoder import mixed_bits as _mix
 from turnwise.llm.encoder import piece_keys
 
@@ -73,7 +74,7 @@ def word_hashes(text: str) -> np.ndarray:
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     low, high = piece_keys(raw, starts, ends)
-    longer = np.flatnonzero(ends - starts > 15)
+    longer = np.flatnonzero(ends - starts > SHORT)
     if len(longer):  # piece_keys numbers these within the text only
         spans = zip(starts[longer].tolist(), ends[longer].tolist())
         wide = np.frombuffer(b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in spans), np.uint64)
