@@ -144,6 +144,59 @@ def test_toxicity_tolerates_gaps_and_signs():
     assert low < 0.3 and slipped > 10 * low
 
 
+def test_kernel_against_counting():
+    """The folded table and the landmarks' kernel, against subsequences counted one by one."""
+    from itertools import combinations
+
+    r = random.Random(8)
+    words = [bytes([0, *(r.randrange(1, 27) for _ in range(r.randrange(3, 9))), 0]) for _ in range(40)]
+    words += [words[0][:3] + bytes([5]) + words[0][3:], words[1]]
+
+    def weights(w):
+        out = {}
+        for at in combinations(range(len(w)), 4):
+            if at[3] - at[0] <= toxicity.REACH:
+                key = tuple(w[i] for i in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[3] - at[0] - 3)
+        return out
+
+    def norm(w):  # by length, as the operator has it: of each subsequence by itself
+        return sum(toxicity.DECAY ** (2 * (at[3] - at[0] - 3)) for at in combinations(range(len(w)), 4) if at[3] - at[0] <= toxicity.REACH) ** 0.5
+
+    def kernel(a, b):
+        x, y = weights(a), weights(b)
+        return sum(v * y.get(k, 0) for k, v in x.items()) / norm(a) / norm(b)
+
+    marks = words[:12]
+    want = np.array([[kernel(a, b) for b in marks] for a in words])
+    found = toxicity.Landmarks(marks)
+    assert np.allclose(found.kernel(words), want, atol=1e-4)
+    weight = np.random.default_rng(3).standard_normal(12)
+    letters, starts = toxicity._packed(words)
+    assert np.allclose(toxicity.decisions(letters, starts, found.folded(weight)), want @ weight, atol=1e-3)
+
+
+def test_toxicity_of_single_insults():
+    """In unseen clean texts of sf0.1: one insult, as it is or written to hide it, is enough; clean texts are left alone."""
+    con = duckdb.connect()
+    rows = con.sql("""SELECT doc_id, coalesce(text, ''), toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id)
+                      WHERE toxic IS NOT NULL ORDER BY crc32(doc_id), doc_id""".replace("crc32(doc_id)", "md5(doc_id::VARCHAR)")).fetchall()
+    kept, unseen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1], [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    m = toxicity.fit([t for _, t, _ in kept], [y == 1 for _, _, y in kept])
+    clean = [t for _, t, y in unseen if y == 0]
+    assert (m.scores(clean) >= toxicity.LIMIT).mean() < 0.01
+    r = random.Random(3)
+    insults = ["idiot", "moron", "stupid", "scum", "trash", "clown", "pathetic", "worthless", "disgusting"]
+    ways = [str, str.upper, ".".join, " ".join, lambda w: w[:2] + "\u200b" + w[2:], lambda w: f"\u201c{w}\u201d", lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w)]
+    for way in ways:
+        texts = []
+        for t in r.sample(clean, 100):
+            w = t.split()
+            w.insert(r.randrange(len(w) + 1), way(r.choice(insults)))
+            texts.append(" ".join(w))
+        assert (m.scores(texts) >= toxicity.LIMIT).mean() >= 0.9
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = toxicity.judged(awkward, none)

@@ -2,19 +2,26 @@
 
 A text is scored by its words (units). The kernel of two units counts the subsequences of four letters
 that they share, within six places, each gap halving the weight; ends of a unit are letters of their
-own. Letters in between (idXiot) only widen gaps, signs in between (i.d-i*o.t) are left out, digits
-that stand for letters are read as such, and runs of single letters (i d i o t) are put together. Units
-of over 20 letters are taken in pieces.
+own. Letters in between (idXiot) only widen gaps, signs in between (i.d-i*o.t) are left out, whatever
+their script, as are invisible characters; digits that stand for letters are read as such, wide and
+accented letters as their plain ones, and runs of single letters (i d i o t) are put together. Units of
+over 20 letters are taken in pieces; of fewer than three they have no subsequence of four, so they
+score as nothing.
 
 Nyström features of landmark units make the machine linear. Its decision is a weighted sum of kernels
 with the landmarks, which folds into one table over all subsequences (32 letters to the fourth): scoring is a
-table lookup for each place, whatever the number of landmarks. A text's two highest decisions go
-through a logistic curve fitted on the training texts. Labels are of texts, not units, so training
-picks the units of toxic texts that stand out against clean ones, fits, and fits twice more with the
-units of clean texts that came out highest.
+table lookup for each place, whatever the number of landmarks. A text's score is that of its highest unit.
 
-Fitting takes at most TRAIN labelled texts of each class, by order of a hash of doc_id, in one task;
-that is its documented bound. Scoring covers every text whole, in bounded slices.
+Labels are of texts, not units, so training picks the units of toxic texts that stand out against clean
+ones (by log odds and by a likelihood ratio, against the number of units that were looked at), learns
+them as they are and with a letter slipped in, and fits twice more with the units of clean texts that
+came out highest. A quarter of the clean texts takes no part in that: their highest decisions say from
+where on a text is called toxic (FALSE_ALARMS of them lie above), and a logistic curve through that place
+makes scores of decisions.
+
+Fitting takes at most TRAIN toxic and TRAIN_CLEAN other labelled texts, by order of a hash of doc_id, in one task, and
+of their units at most what the constants below say; these are its documented bounds. Scoring covers
+every text whole, in bounded slices.
 
 Defined cases: null and empty texts have no units and score as such; doc_ids labelled both ways count
 as toxic; null labels and null doc_ids are not learned from; without both classes every score is 0.
@@ -22,7 +29,9 @@ as toxic; null labels and null doc_ids are not learned from; without both classe
 
 from __future__ import annotations
 
+import functools
 import pickle
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +45,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import bounded_batches, crc_mod, text_of
 from turnwise.llm.encoder import slices
 
-TRAIN = 800
+TRAIN, TRAIN_CLEAN = 800, 3000
 LANDMARKS = 256
 DECAY, REACH, PIECE = 0.5, 5, 20
 CODES = 1 << 20
@@ -44,8 +53,15 @@ CODES = 1 << 20
 PATTERNS = tuple((p, q, r, DECAY ** (r - 3)) for r in range(3, REACH + 1) for q in range(2, r) for p in range(1, q))
 FLOOR = -3.0
 LIMIT = 0.7
-#: Log odds from which a part of five letters marks a unit to begin the training with.
+#: Log odds from which a unit, or a part of five letters, may mark a unit to begin the training with.
 STANDS_OUT = 2.2
+#: Units that stand out, those of them that are also learned with a letter slipped in, clean units by hash
+#: and by frequency, and clean ones that came out highest and are learned in each of two more rounds.
+POSITIVE, SLIPPED, CLEAN, FREQUENT, HARD = 2000, 400, 6000, 1500, 3000
+SLIP_WEIGHT = 4.0
+#: Share of unseen clean texts that may lie above a place, and how far the limit moves on from there towards
+#: the median of the units that stand out; and the score of that place.
+FALSE_ALARMS, MARGIN, CLEAN_END = 0.01, 0.08, 0.05
 
 _LETTERS = np.zeros(256, np.uint8)
 _FOLD = {
@@ -57,6 +73,20 @@ for _c in "abcdefghijklmnopqrstuvwxyz":
         _LETTERS[[ord(_x), ord(_x.upper()) if len(_x.upper()) == 1 and ord(_x.upper()) < 256 else ord(_x)]] = ord(_c) - 96
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0xA0, *range(0x09, 0x0E)]] = True
+SIGN, SPACE = 0, 255
+
+
+@functools.cache
+def _letter(code: int) -> int:
+    """Of a character over 255: its plain letter if it has one, one of four codes for other letters, SIGN, or
+    SPACE."""
+    c = chr(code)
+    plain = unicodedata.normalize("NFKD", c)[:1]
+    if plain != c and ord(plain) < 256:
+        return SPACE if _BLANK[ord(plain)] else int(_LETTERS[ord(plain)])
+    kind = unicodedata.category(c)[0]
+    return SPACE if kind == "Z" else 27 + code % 4 if kind == "L" else SIGN
+
 
 
 def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +97,12 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = np.minimum(code, 255).astype(np.uint8)
     letter = _LETTERS[low]
     high = code > 255
-    if high.any():  # letters of other scripts share four codes
-        letter[high] = (27 + code[high] % 4).astype(np.uint8)
     blank = _BLANK[low] & ~high
+    if high.any():
+        codes, which = np.unique(code[high], return_inverse=True)
+        found = np.array([_letter(int(c)) for c in codes], np.uint8)[which]
+        blank[high] = found == SPACE
+        letter[high] = np.where(found == SPACE, SIGN, found)
     word = np.cumsum(blank)
     at = np.flatnonzero(letter)
     if not len(at):
@@ -123,30 +156,25 @@ def decisions(letters: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.
 class Model:
     table: np.ndarray
     bias: float
-    curve: tuple[float, float, float]
+    slope: float
+    limit: float  # the decision that scores LIMIT
 
     def highest(self, texts: list[str]) -> np.ndarray:
-        """The two highest decisions of each text."""
-        out = np.full((len(texts), 2), FLOOR)
+        """The highest decision of each text."""
+        out = np.full(len(texts), FLOOR)
         letters, starts, doc = units(texts)
         f = decisions(letters, starts, self.table) + self.bias
         if len(f):
             begin = np.flatnonzero(np.diff(doc, prepend=-1))
-            top = np.maximum.reduceat(f, begin)
-            each = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(f)))
-            at = np.flatnonzero(f == top[each])
-            f[at[np.flatnonzero(np.diff(each[at], prepend=-1))]] = FLOOR
-            out[doc[begin], 0] = np.maximum(top, FLOOR)
-            out[doc[begin], 1] = np.maximum(np.maximum.reduceat(f, begin), FLOOR)
+            out[doc[begin]] = np.maximum(np.maximum.reduceat(f, begin), FLOOR)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        a, b, c = self.curve
-        x = self.highest(texts)
-        return 1 / (1 + np.exp(-np.clip(a * x[:, 0] + b * x[:, 1] + c, -50, 50)))
+        odds = self.slope * (self.highest(texts) - self.limit) + np.log(LIMIT / (1 - LIMIT))
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-NEVER = Model(np.zeros(CODES, np.float32), 0.0, (0.0, 0.0, -50.0))
+NEVER = Model(np.zeros(CODES, np.float32), 0.0, 1.0, 60.0)
 
 
 def _packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +221,11 @@ class Landmarks:
         return table
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: float = 4.0) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps; the last weight is the bias."""
+def _machine(z: np.ndarray, y: np.ndarray, n: np.ndarray, cost: float = 4.0) -> np.ndarray:
+    """Linear machine with squared hinge loss by Newton steps; the last weight is the bias. n weighs rows
+    within their class, and both classes weigh the same."""
     x = np.hstack([z, np.ones((len(z), 1))]).astype(np.float64)
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * cost
+    c = n * np.where(y > 0, 0.5 / max(1, n[y > 0].sum()), 0.5 / max(1, n[y < 0].sum())) * len(y) * cost
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
@@ -210,21 +239,25 @@ def _machine(z: np.ndarray, y: np.ndarray, cost: float = 4.0) -> np.ndarray:
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """By Newton steps with a little shrinkage."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    c = np.ones(len(y))
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (c * (p - y)) + 1.0 * w
-        w = w - np.linalg.solve(a.T @ (a * (c * p * (1 - p) + 1e-9)[:, None]) + 1.0 * np.eye(3), g)
-    return tuple(float(v) for v in w)
+def _telling(toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
+    """What stands out in toxic texts: high log odds less a standard error, and a likelihood ratio that chance
+    would reach for about one in ten such samples."""
+    bad, good = (Counter(w for words in docs for w in words) for docs in (toxic, clean))
+    looked_at = {w: k for w, k in bad.items() if k > 2}
+    enough = 2 * np.log(10 * max(1, len(looked_at)))
+    share = len(toxic) / max(1, len(toxic) + len(clean))
+    out = set()
+    for w, k in looked_at.items():
+        n = k + (other := good[w])
+        odds = np.log((k + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(clean) + 1))
+        ratio = k * np.log(k / (n * share)) + (other * np.log(other / (n * (1 - share))) if other else 0.0)
+        if odds - np.sqrt(1 / (k + 0.5) + 1 / (other + 0.5)) > STANDS_OUT and 2 * ratio > enough:
+            out.add(w)
+    return out
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Model:
-    y = np.array(toxic, bool)
-    if not y.any() or y.all():
+    if all(toxic) or not any(toxic):
         return NEVER
     of_doc: list[set[bytes]] = [set() for _ in texts]
     for lo, hi in slices(texts, 500_000):
@@ -233,51 +266,57 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
         for s, e, d in zip(starts.tolist(), ends, doc.tolist()):
             if e - s > 4:
                 of_doc[lo + d].add(raw[s:e])
-    # parts of five letters that toxic texts have and others do not
-    parts = lambda w: [w[i : i + 5] for i in range(max(1, len(w) - 4))]
-    seen = [Counter(), Counter()]
-    for words, t in zip(of_doc, toxic):
-        seen[t].update({p for w in words for p in parts(w)})
-    n = [len(y) - y.sum(), y.sum()]
-    odds = {}  # of each part, a standard error below
-    for p, k in seen[1].items():
-        if k > 2:
-            k, other = k + 0.5, seen[0][p] + 0.5
-            odds[p] = np.log(k / (n[1] + 1)) - np.log(other / (n[0] + 1)) - np.sqrt(1 / k + 1 / other)
-    rate = lambda w: max((odds.get(p, -1.0) for p in parts(w)), default=-1.0)
-    clean = sorted({w for words, t in zip(of_doc, toxic) if not t for w in words}, key=lambda w: hash_of(w))
+    apart = np.array([not t and zlib.crc32(x.encode("utf-8", "surrogatepass")) % 4 == 0 for x, t in zip(texts, toxic)])
+    unseen = [x for x, out in zip(texts, apart) if out]
+    of_doc, toxic = ([x for x, out in zip(of, apart) if not out] for of in (of_doc, toxic))
+    in_clean = [set(words) for words in {frozenset(words) for words, t in zip(of_doc, toxic) if not t}]
+    clean = sorted(set().union(*in_clean), key=hash_of)
     clean_words = set(clean)
+    in_toxic = [set(words) for words in {frozenset(words) for words, t in zip(of_doc, toxic) if t}]  # copies count once
+    # units that are telling as a whole, and those with a part of five letters that is telling in the other units
+    whole = _telling(in_toxic, in_clean) - clean_words
+    parts = lambda w: [w[i : i + 5] for i in range(max(1, len(w) - 4))]
+    in_parts = lambda docs: [{p for w in words - whole for p in parts(w)} for words in docs]
+    telling_parts = _telling(in_parts(in_toxic), in_parts(in_clean))
     picked: Counter = Counter()
     for words, t in zip(of_doc, toxic):
         if t:
-            picked.update(sorted((w for w in words if w not in clean_words and rate(w) > STANDS_OUT), key=rate)[-8:])
+            picked.update({w for w in words if w in whole or w not in clean_words and not telling_parts.isdisjoint(parts(w))})
     if not picked:
         return NEVER
-    positive = [w for w, _ in sorted(picked.items(), key=lambda x: (-x[1], x[0]))[:2000]]
+    positive = [w for w, _ in sorted(picked.items(), key=lambda x: (-x[1], x[0]))[:POSITIVE]]
     common = Counter(w for words, t in zip(of_doc, toxic) if not t for w in words)
     frequent = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
     # the same with a letter slipped in, as such texts do
-    slipped = [w[:i] + bytes([1 + hash_of(w + bytes([i])) % 26]) + w[i:] for w in positive[:400] for i in range(2, len(w) - 1, 2)]
+    slipped = [w[:i] + bytes([1 + hash_of(w + bytes([i])) % 26]) + w[i:] for w in positive[:SLIPPED] for i in range(2, len(w) - 1)]
+    often = np.sqrt([picked[w] for w in positive] + [picked[w] * SLIP_WEIGHT / (len(w) - 3) for w in positive[:SLIPPED] for _ in range(2, len(w) - 1)])
     marks = positive[: LANDMARKS // 2]
     marks += [w for w in frequent if w not in set(marks)][: LANDMARKS - len(marks)]
     landmarks = Landmarks(marks)
     gram = landmarks.kernel(marks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-4)) @ vector.T
-    negative = clean[:6000] + frequent[:1500]
+    negative = clean[:CLEAN] + frequent[:FREQUENT]
     model = NEVER
     for turn in range(3):
         words = positive + slipped + negative
         sign = np.array([1.0] * (len(positive) + len(slipped)) + [-1.0] * len(negative))
-        w = _machine(landmarks.kernel(words) @ root, sign)
-        model = Model(landmarks.folded(root @ w[:-1]), float(w[-1]), (1.0, 0.0, 0.0))
+        n = np.concatenate([often, np.ones(len(negative))])
+        w = _machine(landmarks.kernel(words) @ root, sign, n)
+        model = Model(landmarks.folded(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         if turn == 2:
             break
         # what the machine wrongly finds in clean texts is learned as well
         f = dict(zip(clean, decisions(*_packed(clean), model.table).tolist()))
-        negative = list(dict.fromkeys(negative + sorted(clean, key=lambda x: -f[x])[:3000]))
-    x = np.vstack([model.highest(texts[lo:hi]) for lo, hi in slices(texts, 500_000)])
-    return Model(model.table, model.bias, _logistic(x, y))
+        negative = list(dict.fromkeys(negative + sorted(clean, key=lambda x: -f[x])[:HARD]))
+    alone = float(np.median(np.repeat(decisions(*_packed(positive), model.table), [picked[w] for w in positive]))) + model.bias
+    quiet = np.concatenate([model.highest(unseen[lo:hi]) for lo, hi in slices(unseen, 500_000)] or [np.empty(0)])
+    limit = float(np.quantile(quiet, 1 - FALSE_ALARMS, method="higher")) if len(quiet) else 0.0
+    # on from clean texts towards units that stand out; where the two mix, these come first
+    margin = max(MARGIN * (alone - limit), 0.1)
+    # the limit scores LIMIT, and the place where clean texts end CLEAN_END
+    rise = np.log(LIMIT / (1 - LIMIT)) - np.log(CLEAN_END / (1 - CLEAN_END))
+    return Model(model.table, model.bias, float(rise) / margin, min(limit + margin, alone))
 
 
 def hash_of(word: bytes) -> int:
@@ -289,12 +328,12 @@ def held_out() -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """From at most TRAIN labelled texts of each class that are not held out."""
+    """From at most TRAIN toxic and TRAIN_CLEAN other labelled texts that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(TRAIN).unionByName(known.where("toxic = 0").orderBy(*order).limit(TRAIN))
-    picked = F.broadcast(picked.withColumnRenamed("doc_id", "l_doc"))  # 2 * TRAIN rows at most
+    picked = known.where("toxic = 1").orderBy(*order).limit(TRAIN).unionByName(known.where("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
+    picked = F.broadcast(picked.withColumnRenamed("doc_id", "l_doc"))  # TRAIN + TRAIN_CLEAN rows at most
     rows = docs.select("doc_id", text_of().alias("text")).join(picked, F.col("doc_id") == F.col("l_doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
