@@ -180,7 +180,7 @@ def test_toxicity_of_single_insults():
     """In unseen clean texts of sf0.1: one insult, as it is or written to hide it, is enough; clean texts are left alone."""
     con = duckdb.connect()
     rows = con.sql("""SELECT doc_id, coalesce(text, ''), toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id)
-                      WHERE toxic IS NOT NULL ORDER BY crc32(doc_id), doc_id""".replace("crc32(doc_id)", "md5(doc_id::VARCHAR)")).fetchall()
+                      WHERE toxic IS NOT NULL ORDER BY doc_id""").fetchall()
     kept, unseen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1], [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     m = toxicity.fit([t for _, t, _ in kept], [y == 1 for _, _, y in kept])
     clean = [t for _, t, y in unseen if y == 0]
