@@ -24,7 +24,7 @@ of their units at most what the constants below say; these are its documented bo
 every text whole, in bounded slices.
 
 Defined cases: null and empty texts have no units and score as such; doc_ids labelled both ways count
-as toxic; null labels and null doc_ids are not learned from; without both classes every score is 0.
+as toxic; of texts that share a doc_id one is learned from, by a hash; null labels and null doc_ids are not learned from; without both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -335,6 +335,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     picked = known.where("toxic = 1").orderBy(*order).limit(TRAIN).unionByName(known.where("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
     picked = F.broadcast(picked.withColumnRenamed("doc_id", "l_doc"))  # TRAIN + TRAIN_CLEAN rows at most
     rows = docs.select("doc_id", text_of().alias("text")).join(picked, F.col("doc_id") == F.col("l_doc"))
+    # of texts that share a doc_id one, so that the bound holds
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
