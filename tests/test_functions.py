@@ -26,7 +26,7 @@ def test_normalizer_is_idempotent_and_drops_glosses():
         once = text.normalize(raw)
         assert text.normalize(once) == once
     assert text.normalize("नमस्कार (hello) दुनिया") == "नमस्कार दुनिया"
-    assert text.normalize("फोन (phone)वर") == "वर" or "phone" not in text.normalize("फोन (phone)वर")
+    assert text.normalize("फोन (phone)वर") == "फोनवर" and text.normalize("फोन(phone)-वर आहे") == "फोनवर आहे"
 
 
 def test_native_normalizer_agrees_without_glosses(spark):
@@ -117,13 +117,6 @@ def test_guards(spark):
     assert rows(guards.complete(counts, side, ["clip_id"], "n", "n_turns")) == [("a", True), ("b", False), ("c", True)]
 
 
-def test_windows_keep_overlapping_segments_together(spark):
-    seg = spark.createDataFrame([("c", i) for i in range(30)], "clip_id string, i int")
-    pairs = spark.createDataFrame([("c", 11, 13)], "clip_id string, a int, b int")
-    got = [(r["lo"], r["hi"]) for r in guards.windows(seg, pairs).orderBy("window").collect()]
-    assert got == [(0, 13), (14, 25), (26, 29)]
-
-
 def test_streaming_windows(spark, sf, tmp_path):
     from turnwise.streaming import events as ev
 
@@ -154,7 +147,7 @@ def test_edit_distance_of_all_neighbours(spark, sf):
     w = {r["item_id"]: r["text"].split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {i: plain_distance(w[i], w[i + 1]) for i in w if i + 1 in w}
     assert any(len(w[i]) > 30 for i in want)
-    assert {r["ref"]: r["errors"] for r in QUERIES["token_edit_distance_all"](spark, sf).collect()} == want
+    assert {r["ref"]: r["errors"] for r in QUERIES["token_edit_distance"](spark, sf).collect()} == want
 
 
 def test_banded_distance_against_the_plain_one():
@@ -214,4 +207,4 @@ def test_token_lookup_of_every_language(spark, sf):
     from turnwise.plans import QUERIES
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(r"text rlike '\\S'")
-    assert QUERIES["token_lookup_all"](spark, sf).count() == docs.count() > docs.where("lang = 'en'").count()
+    assert QUERIES["token_lookup"](spark, sf).count() == docs.count() > docs.where("lang = 'en'").count()

@@ -10,14 +10,15 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAG = r"<[^>]{0,40}>"
-_OPEN, _CLOSE = r"[(\[{]", r"[)\]}]"
-_GLOSS_BODY = rf"{_OPEN}\s?([A-Za-z0-9][^()\[\]{{}}]{{0,40}}?)\s?{_CLOSE}"
-_GLOSS = re.compile(_GLOSS_BODY)
-_GLOSS_SUFFIX = re.compile(rf"(\S*?){_GLOSS_BODY}(\w+)(?=\s|$)")
+#: Fixed value: a gloss is a bracketed run of up to 41 characters that begins with an ASCII letter or digit.
+GLOSS = r"[(\[{]\s*[A-Za-z0-9][^)\]}]{0,40}?\s*[)\]}]"
+_GLOSS = re.compile(rf"\s?{GLOSS}")
+#: An ending that a hyphen joins to a gloss, up to a space or the end: without one the hyphen joins two words.
+_GLOSS_ENDING = re.compile(rf"(?P<word>[^\s()\[\]{{}}]*)\s?{GLOSS}-(?P<ending>[^\s(\[{{]+)(?!\S)")
 _ZERO_WIDTH = "​‌‍⁠﻿"
 #: First and last letters of the blocks that scripts are told by.
 SCRIPTS = {
@@ -34,17 +35,21 @@ SCRIPTS = {
 }
 
 
-def strip_glosses(text: str) -> str:
-    """Takes out bracketed Latin glosses; an ending glued behind one is joined to the word before it."""
+def _said(m: re.Match) -> str:
+    """The word with its ending, which the word may have already."""
+    word, ending = m["word"], m["ending"]
+    bare = ending
+    while bare and unicodedata.category(bare[-1])[0] in "PS":
+        bare = bare[:-1]
+    return word if word and bare and word.endswith(bare) else word + ending
 
-    def joined(m: re.Match) -> str:
-        head, suffix = m.group(1), m.group(3)
-        return suffix if not head else head if head.endswith(suffix) else head + suffix
 
-    for pattern, put in ((_GLOSS_SUFFIX, joined), (_GLOSS, lambda m: " ")):
-        before = None
-        while before != text:
-            before, text = text, pattern.sub(put, text)
+def strip_glosses(text: str) -> str:
+    """Takes out bracketed Latin glosses; a hyphened ending behind one goes to the word before it."""
+    for pattern, put in ((_GLOSS_ENDING, _said), (_GLOSS, "")):
+        n = 1
+        while n:  # glosses within glosses
+            text, n = pattern.subn(put, text)
     return text
 
 
@@ -178,3 +183,51 @@ def segmentation_key(turns: Column) -> Column:
 
 def settings_key(**parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("?"))) for k, v in sorted(parts.items()))).cast("binary"))
+
+
+def gloss_counters(text: Column) -> Column:
+    """STRUCT of glosses by bracket, whether round ones do not pair up, and endings joined to a gloss."""
+    t = F.coalesce(text, F.lit(""))
+    #: Fixed values.
+    styles = {"round": r"\([^)]{0,40}\)", "square": r"\[[^\]]{0,40}\]", "curly": r"\{[^}]{0,40}\}", "joined": r"[)\]]-\S", "glosses": GLOSS}
+    lone = F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)"))
+    return F.struct(*(F.regexp_count(t, F.lit(p)).cast("long").alias(n) for n, p in styles.items()), lone.cast("long").alias("unbalanced"))
+
+
+#: Function words that tell Marathi from Hindi.
+MARATHI = ("आणि", "आहे", "आहेत", "मी", "नाही", "होतं", "काय", "तर", "पण", "त्याच्या", "मला", "तुम्ही", "हे", "का", "म्हणून", "असं")
+HINDI = ("और", "है", "हैं", "मैं", "नहीं", "था", "क्या", "तो", "लेकिन", "उसके", "मुझे", "आप", "ये", "क्यों", "इसलिए", "ऐसा")
+
+
+def language_by_words(words: Column, hint: Column, unsure: str = "hi_or_mr") -> Column:
+    """The hint, or where it leaves two languages open, the one with more function words; Hindi on ties and
+    without a hint."""
+    n = lambda of: F.size(F.filter(words, lambda w: w.isin(*of)))
+    told = F.when(F.trim(F.coalesce(hint, F.lit(""))) == "", "hi").otherwise(hint)
+    return F.when(told != unsure, told).when(n(MARATHI) > n(HINDI), "mr").otherwise("hi")
+
+
+def is_editable(text: Column, skipped: Column) -> Column:
+    """Not blank, and not skipped for a reason."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?U)\S") & (F.coalesce(skipped, F.lit("")) == "")
+
+
+def normalization_report(segments: DataFrame, text: str = "text") -> DataFrame:
+    """One row: segments, those with speech, their tokens as they stand, without punctuation, and without
+    glosses too, and what is left in Latin letters."""
+    t = segments.select(F.col(text).alias("t"), is_speech(F.col(text)).alias("speech"))
+    said = F.when(F.col("speech"), F.col("t"))
+    t = t.select("speech", said.alias("t"), normalized(said, False).alias("with_glosses"), normalized(said).alias("final"))
+    count = lambda c: F.sum(F.size(tokens(F.coalesce(c, F.lit(""))))).cast("long")
+    out = t.agg(
+        F.count("*").alias("total"), F.count_if("speech").alias("speech"), count(F.col("t")).alias("raw"), count(F.col("with_glosses")).alias("gloss_kept"),
+        count(F.col("final")).alias("final"), F.sum(F.regexp_count("final", F.lit("[a-z]+"))).cast("long").alias("residual_latin"),
+    )
+    share = F.coalesce(F.try_divide(F.col("gloss_kept") - F.col("final"), F.col("gloss_kept")), F.lit(0.0))
+    return out.withColumns({"removed": F.col("gloss_kept") - F.col("final"), "gloss_share": F.round(share, 4), "residual_share": F.round(F.col("residual_latin") / F.greatest("final", F.lit(1)), 6)})
+
+
+def latin_share(text: str) -> float:
+    """ASCII letters of all letters."""
+    n = sum(c.isalpha() for c in text)
+    return sum(c.isascii() and c.isalpha() for c in text) / n if n else 0.0

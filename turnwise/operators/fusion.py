@@ -57,12 +57,39 @@ class Votes:
         return t
 
 
-def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], duration: float, threshold: float = 0.5, min_dur: float = MIN_DUR) -> list[tuple[str, float, float]]:
+def rank_weights(systems: list[list[tuple[str, float, float]]], duration: float) -> list[float]:
+    """One over a system's rank by agreement: the frames, counted by speaker, that it shares with each other
+    system. Ties keep the order given."""
+    n = max(1, int(duration / HOP))
+    tracks = [_unions(t, n) for t in systems]
+    cuts = np.unique([x for t in tracks for spans in t.values() for span in spans for x in span] or [0, 0])
+    v = Votes(cuts)
+    busy = [sum((v.track(spans) for spans in t.values()), np.zeros(len(v.length))) for t in tracks]
+    agree = [sum(float((np.minimum(a, b) * v.length).sum()) for j, b in enumerate(busy) if j != i) for i, a in enumerate(busy)]
+    out = [0.0] * len(systems)
+    for rank, i in enumerate(sorted(range(len(systems)), key=lambda i: -agree[i])):
+        out[i] = 1.0 / (rank + 1)
+    return out
+
+
+def fuse(
+    systems: list[list[tuple[str, float, float]]], weights: list[float] | None, duration: float, threshold: float = 0.5,
+    min_dur: float = MIN_DUR, overlap_threshold: float | None = None, rank_weighted: bool = False,
+) -> list[tuple[str, float, float]]:
     """Turns that systems agree on, in order of start and speaker.
 
+    Without weights all weigh 1, or by rank of agreement. An overlap threshold under the other lets further
+    speakers in where one has reached the threshold.
+
     Systems without turns do not count, one alone passes through. The heaviest comes first, then the
     order given and keeps its labels. Each next one's labels are assigned to those so far by the largest overlap with what
     has been voted, and names spk{n} made for the rest; a label holds where its votes reach the share."""
+    if weights is None:
+        weights = [1.0] * len(systems)
+        if rank_weighted:
+            held = [t for t in systems if t]
+            by_rank = iter(rank_weights(held, duration))
+            weights = [next(by_rank) if t else 0.0 for t in systems]
     pairs = [(t, w) for t, w in zip(systems, weights) if t]
     if not pairs:
         return []
@@ -87,10 +114,14 @@ def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], du
                 v.labels.append(f"spk{len(v.labels)}" if k else x)
                 v.rows.append(np.zeros(len(v.length)))
             v.rows[mapped[x]] += w * v.track(spans[x])
-    need = threshold * sum(w for _, w in pairs) - 1e-9
+    total = sum(w for _, w in pairs)
+    votes = np.array(v.rows).reshape(len(v.labels), -1)
+    active = votes >= threshold * total - 1e-9
+    if overlap_threshold is not None and overlap_threshold < threshold:
+        active |= (votes >= overlap_threshold * total - 1e-9) & active.any(axis=0)
     out = []
-    for label, row in zip(v.labels, v.rows):
-        on = np.flatnonzero(np.diff(np.concatenate([[0], (row >= need).astype(int), [0]])))
+    for label, row in zip(v.labels, active):
+        on = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(int), [0]])))
         for a, b in zip(on[::2], on[1::2]):
             lo, hi = int(cuts[a]), int(cuts[b])
             if (hi - lo) * HOP >= min_dur:
@@ -98,14 +129,16 @@ def fuse(systems: list[list[tuple[str, float, float]]], weights: list[float], du
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def fused(turns: DataFrame, systems: list[str], durations: DataFrame, weights: list[float] | None = None, threshold: float = 0.5, min_dur: float = MIN_DUR) -> DataFrame:
+def fused(
+    turns: DataFrame, systems: list[str], durations: DataFrame, weights: list[float] | None = None, threshold: float = 0.5,
+    min_dur: float = MIN_DUR, overlap_threshold: float | None = None, rank_weighted: bool = False,
+) -> DataFrame:
     """clip_id, system = fusion, turn_idx, speaker, start, end from turns of the named systems."""
-    weights = weights or [1.0] * len(systems)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn_idx")
         of = [list(zip(p["speaker"], p["start"], p["end"])) for p in (pdf[pdf["system"] == s] for s in systems)]
-        out = fuse(of, weights, float(pdf["duration"].iat[0]), threshold, min_dur)
+        out = fuse(of, weights, float(pdf["duration"].iat[0]), threshold, min_dur, overlap_threshold, rank_weighted)
         rows = [(pdf["clip_id"].iat[0], "fusion", i, *t) for i, t in enumerate(out)]
         return pd.DataFrame(rows, columns=["clip_id", "system", "turn_idx", "speaker", "start", "end"])
 
@@ -113,6 +146,29 @@ def fused(turns: DataFrame, systems: list[str], durations: DataFrame, weights: l
     return rows.groupBy("clip_id").applyInPandas(one, "clip_id string, system string, turn_idx long, speaker string, start double, end double")
 
 
+def materialized(turns: DataFrame, systems: list[str], durations: DataFrame, path: str, threshold: float = 0.5, **options) -> DataFrame:
+    """The fusion as a system of its own under ``path``, with a sidecar row for each clip; clips that have one
+    under the same settings are not fused again. Returns the sidecars."""
+    spark = turns.sparkSession
+    settings = f"{'+'.join(systems)}|{threshold}|{sorted(options.items())}"
+    schema = "clip_id string, status string, n_turns long, n_speakers long, settings string"
+    try:
+        done = spark.read.schema(schema).json(f"{path}/sidecars")
+    except Exception as e:  # only an absent folder means that nothing is done
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = spark.createDataFrame([], schema)
+    todo = durations.join(done.where((F.col("settings") == settings) & (F.col("status") == "ok")).select("clip_id"), "clip_id", "left_anti")
+    out = fused(turns.join(todo.select("clip_id"), "clip_id", "left_semi"), systems, todo, threshold=threshold, **options)
+    stamp = F.sha1(F.lit(settings).cast("binary"))
+    out.withColumn("settings", stamp).write.mode("append").parquet(f"{path}/turns")
+    made = spark.read.parquet(f"{path}/turns").where(F.col("settings") == stamp).groupBy("clip_id").agg(F.count("*").alias("n_turns"), F.countDistinct("speaker").alias("n_speakers"))
+    side = todo.select("clip_id").join(made, "clip_id", "left").na.fill(0, ["n_turns", "n_speakers"])
+    side = side.select("clip_id", F.lit("ok").alias("status"), "n_turns", "n_speakers", F.lit(settings).alias("settings"))
+    side.write.mode("append").json(f"{path}/sidecars")
+    return spark.read.schema(schema).json(f"{path}/sidecars").where(F.col("settings") == settings)
+
+
 def optimal_mapping(shared: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label, target from (label, target, amount) rows: the assignment of the largest total."""
 

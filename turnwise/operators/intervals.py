@@ -258,6 +258,23 @@ def split_long(df: DataFrame, longest, step, start: str = "start", end: str = "e
     return p.withColumns({"p_start": begin, "p_end": F.least(F.col(end), begin + F.lit(longest))})
 
 
+def padded_grid(clips: DataFrame, step, pad, end: str = "duration") -> DataFrame:
+    """Each clip's chunks of ``step`` from 0, the last one cut: chunk, own_start, own_end, and start, end with
+    the padding that is heard but not kept."""
+    n = F.ceil(F.col(end) / F.lit(step)).cast("int")
+    p = clips.where(F.col(end) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
+    own = {"own_start": F.col("chunk") * F.lit(step), "own_end": F.least(F.col(end), (F.col("chunk") + 1) * F.lit(step))}
+    return p.withColumns(own).withColumns({"start": F.greatest(F.col("own_start") - pad, F.lit(0.0)), "end": F.least(F.col(end), F.col("own_end") + pad)})
+
+
+def kept_of_chunks(words: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Words (keys, chunk, start, end; times of the clip) whose start lies in their chunk without padding, so
+    that none comes twice."""
+    own = grid.select(*keys, "chunk", "own_start", "own_end")
+    inside = (F.col("start") >= F.col("own_start")) & (F.col("start") < F.col("own_end"))
+    return words.join(own, [*keys, "chunk"]).where(inside).drop("own_start", "own_end")
+
+
 def unrolled(df: DataFrame, tokens: str, start: str = "start", end: str = "end") -> DataFrame:
     """Each token with an equal share of its row's time: pos, token, t_start, t_end."""
     step = (F.col(end) - F.col(start)) / F.size(tokens)

@@ -77,3 +77,54 @@ def duplicate_positions(pairs: DataFrame, keys: list[str], least: int = 3) -> Da
     p = pairs.select(*(F.col(f"l.{k}").alias(k) for k in keys), F.col("l.idx").alias("i"), F.col("r.idx").alias("j"), runs("l.tokens", "r.tokens").alias("x"))
     both = p.select(*keys, F.explode(F.array(F.struct(F.col("i").alias("idx"), F.col("x.a").alias("at")), F.struct(F.col("j").alias("idx"), F.col("x.b").alias("at")))).alias("y"))
     return both.groupBy(*keys, "y.idx").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("y.at")))).alias("positions")).where(F.size("positions") > 0)
+
+
+def over_models(profiles: DataFrame, apart: float = APART) -> DataFrame:
+    """profiles (model, clip_id, peak_lag, peak_iou, zero_iou, margin) by clip: the mean profile, how far the
+    models' lags lie apart, and whether they agree."""
+    means = (F.avg(c).alias(c) for c in ("peak_lag", "peak_iou", "zero_iou", "margin"))
+    out = profiles.groupBy("clip_id").agg(*means, (F.max("peak_lag") - F.min("peak_lag")).alias("spread"), F.count("*").alias("n_models"))
+    return out.withColumn("agreed", F.col("spread") <= apart)
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df in an order that depends on the seed and the key only."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+
+
+def widened(picked: list[dict], rest: list[dict], n: int, by: str) -> list[dict]:
+    """picked and rows of rest up to n, each the one that lies farthest from all picked; ties go by order."""
+    out, left = list(picked), list(rest)
+    while len(out) < n and left:
+        far = [min((abs(x[by] - y[by]) for y in out), default=0) for x in left]
+        out.append(left.pop(far.index(max(far))))
+    return out
+
+
+def within_budget(picked: list[dict], pool: list[dict], key: str, group: str, size: str, budget: float) -> list[dict]:
+    """picked under the budget: the largest goes, and its group's smallest row that is not picked comes for
+    it, until they fit or one is left. A row that came and is the largest may go again, so a swap that
+    gains nothing ends it."""
+    out = sorted(picked, key=lambda x: (-x[size], x[key]))
+    while sum(x[size] for x in out) > budget and len(out) > 1:
+        gone, out = out[0], out[1:]
+        held = {x[key] for x in out}
+        free = [x for x in pool if x[group] == gone[group] and x[key] not in held and x[size] < gone[size]]
+        if free:
+            out = sorted([*out, min(free, key=lambda x: (x[size], x[key]))], key=lambda x: (-x[size], x[key]))
+    return sorted(out, key=lambda x: x[key])
+
+
+def pilot(df: DataFrame, group: str, by: str, spread: str, size: str, n: int, budget: float, at: tuple[float, ...] = (0.9, 0.5, 0.1), seed: int = 0, key: str = "clip_id") -> list[dict]:
+    """A small sample: of each group one row, at percentiles of ``by`` in turn, widened over ``spread`` in a
+    seeded order up to n, within a budget of ``size``. The candidates are a list of clips on the driver."""
+    turn = F.dense_rank().over(Window.orderBy(group)) - 1
+    groups = df.select(group).distinct().select(F.col(group).alias("__g"), F.element_at(F.array(*map(F.lit, at)), (turn % len(at) + 1).cast("int")).alias("__q"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(by, key)) - 1
+    ranked = df.withColumns({"__r": rank, "__n": F.count("*").over(Window.partitionBy(group))}).join(groups, F.col(group) == F.col("__g"))
+    wanted = F.floor(F.col("__q") * (F.col("__n") - 1))
+    marked = shuffled(ranked.withColumn("__first", F.col("__r") == wanted).drop("__r", "__n", "__g", "__q"), key, seed)
+    rows = [r.asDict() for r in marked.collect()]
+    first = sorted((r for r in rows if r["__first"]), key=lambda r: r[group])
+    out = widened(first, [r for r in rows if not r["__first"]], n, spread)
+    return [{k: v for k, v in r.items() if k != "__first"} for r in within_budget(out, rows, key, group, size, budget)]

@@ -130,11 +130,12 @@ BASE = 1_704_067_200.0  # 2024-01-01
 
 
 @query(f"""WITH {TURNS}, x AS (SELECT clip, speaker, idx, s / 1e6 - {BASE} AS a, e / 1e6 - {BASE} AS b FROM t),
-f AS (SELECT clip, speaker, idx, trunc(greatest(0.0, a) / 0.01::DOUBLE)::BIGINT AS lo, trunc(least(2000000 * 0.01::DOUBLE, b) / 0.01::DOUBLE)::BIGINT AS hi FROM x)
+f AS (SELECT clip, speaker, idx, trunc(greatest(0.0, a) / 0.01::DOUBLE)::BIGINT AS lo, trunc(least((SELECT ceil(max(b) / 0.01::DOUBLE) + 1 FROM x) * 0.01::DOUBLE, b) / 0.01::DOUBLE)::BIGINT AS hi FROM x)
 SELECT clip, speaker, idx, lo, hi FROM f WHERE hi > lo""")
 def frame_intervals(spark, d):
     t = event_turns(spark, d).withColumns({"start": F.col("start") / F.lit(1e6) - F.lit(BASE), "end": F.col("end") / F.lit(1e6) - F.lit(BASE)})
-    return iv.frame_intervals(t, 0.01, F.lit(2_000_000)).select("clip", "speaker", "idx", "lo", "hi")
+    grid = t.agg((F.ceil(F.max("end") / 0.01) + 1).alias("n_frames"))  # one row: the grid reaches to the last end
+    return iv.frame_intervals(t.crossJoin(F.broadcast(grid)), 0.01, F.col("n_frames")).select("clip", "speaker", "idx", "lo", "hi")
 
 
 @query(f"""WITH {TURNS}, x AS (SELECT clip, speaker, trunc(greatest(0.0, s / 1e6 - {BASE}) / 0.01::DOUBLE)::BIGINT AS lo, trunc((e / 1e6 - {BASE}) / 0.01::DOUBLE)::BIGINT AS hi FROM t),

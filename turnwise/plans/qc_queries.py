@@ -63,7 +63,7 @@ def lag_assessment(spark, d):
 def duplicate_words(spark, d):
     """Words that neighbouring turns of a conversation share in runs of three."""
     c = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), F.col("turn").alias("start"), (F.col("turn") + 2).alias("end"), tx.tokens(F.col("text")).alias("tokens"))
-    return qc.duplicate_positions(iv.overlap_pairs(c, ["conv_id"], "idx", 4), ["conv_id"], 1)
+    return qc.duplicate_positions(iv.overlap_pairs(c, ["conv_id"], "idx", 4), ["conv_id"])
 
 
 @query(r"""SELECT user_id, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1""")

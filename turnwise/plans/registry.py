@@ -60,3 +60,16 @@ k AS (SELECT clip, t, until, CASE WHEN t > max(until) OVER (PARTITION BY clip OR
       FROM dep WHERE until IS NOT NULL AND {cond}),
 k1 AS (SELECT *, sum(n) OVER (PARTITION BY clip ORDER BY t, until ROWS UNBOUNDED PRECEDING) AS g FROM k),
 tl AS (SELECT clip, min(t) AS s, max(until) AS e FROM k1 GROUP BY clip, g)"""
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """Rows as SQL, each column cast to the type behind its name."""
+    names, types = zip(*(c.split() for c in columns.split(", ")))
+
+    def literal(x) -> str:
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    casts = ", ".join(f'"{n}"::{t} AS "{n}"' for n, t in zip(names, types))
+    quoted = ", ".join(f'"{n}"' for n in names)
+    return f"SELECT {casts} FROM (VALUES {body}) v({quoted})"

@@ -9,7 +9,7 @@ from turnwise.functions import text as tx
 from turnwise.functions import tokens as tk
 from turnwise.functions.align import distance
 from turnwise.operators import fusion, guards
-from turnwise.plans.registry import query, read
+from turnwise.plans.registry import query, read, values
 from turnwise.sources import readers
 
 WORDS = r"regexp_extract_all({c}, '\S+')"
@@ -23,11 +23,6 @@ def normalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(tx.normalized_native(F.col("text")).cast("binary")).alias("norm"))
 
 
-@query()
-def normalize_with_glosses(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", tx.normalized(F.col("text")).alias("norm"))
-
-
 @query(r"""SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '\S') AND NOT regexp_full_match(text, '(\s*<[^>]{0,40}>\s*)+')) AS speech, count(*) AS n FROM documents GROUP BY lang""")
 def speech_filter(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(F.count_if(tx.is_speech(F.col("text"))).alias("speech"), F.count("*").alias("n"))
@@ -57,16 +52,22 @@ def script_profile(spark, d):
     return inline.unionByName(docs).select("k", "id", s.alias("s")).select("k", "id", "s.script", F.round("s.share", 9).alias("share"))
 
 
-@query()
+@query(values("token VARCHAR, script VARCHAR, latin BOOLEAN, digit BOOLEAN", [(t, s, str(l), str(n)) for t, s, l, n in [
+    ("नमस्कार", "DEVANAGARI", False, False), ("दुनिया", "DEVANAGARI", False, False), ("வணக்கம்", "TAMIL", False, False), ("உலகம்", "TAMIL", False, False),
+    ("ok", "LATIN", True, False), ("ಕನ್ನಡ", "KANNADA", False, False), ("ভাষা", "BENGALI", False, False), ("hello", "LATIN", True, False),
+    ("नमस्ते", "DEVANAGARI", False, False), ("wörld", "LATIN", False, False), ("été", "LATIN", False, False), ("123", None, False, True), ("...", None, False, False),
+    ("مرحبا", "ARABIC", False, False), ("بك", "ARABIC", False, False), ("తెలుగు", "TELUGU", False, False), ("മലയാളം", "MALAYALAM", False, False),
+    ("తెలుగు", "TELUGU", False, False), ("ગુજરાતી", "GUJARATI", False, False), ("ਪੰਜਾਬੀ", "GURMUKHI", False, False), ("ଓଡ଼ିଆ", "ORIYA", False, False),
+]]))
 def token_scripts(spark, d):
     rows = spark.createDataFrame([(t,) for t in INDIC], "text string").select(F.explode(tx.tokens(F.col("text"))).alias("token"))
     return rows.select("token", tx.token_script(F.col("token")).alias("script"), tx.is_latin(F.col("token")).alias("latin"), tx.has_digit(F.col("token")).alias("digit"))
 
 
-@query(rf"""SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({WORDS.format(c='lower(text)')}) AS token FROM documents) GROUP BY 1, 2 HAVING count(*) > 3""")
+@query(rf"""SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({WORDS.format(c='lower(text)')}) AS token FROM documents) GROUP BY 1, 2""")
 def vocab_counts(spark, d):
     t = tk.exploded(read(spark, d, "documents"), tx.tokens(F.lower("text")), "lang")
-    return tk.vocabulary(t, ["lang"]).where("n > 3")
+    return tk.vocabulary(t, ["lang"])
 
 
 @query(rf"""WITH w AS (SELECT doc_id, {WORDS.format(c='text')} AS w FROM documents),
@@ -96,7 +97,7 @@ def word_streams(spark, d):
     return tk.word_stream(read(spark, d, "conversations"), ["conv_id"], "role", "turn", "turn", tx.tokens(F.col("text")))
 
 
-_LOOKUP = rf"""WITH t AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS token, generate_subscripts({WORDS.format(c='text')}, 1) AS p FROM documents WHERE lang = 'en'),
+_LOOKUP = rf"""WITH t AS (SELECT doc_id, unnest({WORDS.format(c='text')}) AS token, generate_subscripts({WORDS.format(c='text')}, 1) AS p FROM documents),
 x AS (SELECT DISTINCT token, upper(token) AS repl FROM t WHERE token IN ('the', 'of', 'and', 'idiot')),
 j AS (SELECT doc_id, p, coalesce(repl, token) AS n, (repl IS NOT NULL)::INT AS hit FROM t LEFT JOIN x USING (token))
 SELECT doc_id, md5(string_agg(n, ' ' ORDER BY p)) AS text, sum(hit)::BIGINT AS n_changed FROM j GROUP BY doc_id"""
@@ -104,13 +105,6 @@ SELECT doc_id, md5(string_agg(n, ' ' ORDER BY p)) AS text, sum(hit)::BIGINT AS n
 
 @query(_LOOKUP)
 def token_lookup(spark, d):
-    """English documents, as in its SQL."""
-    return _documents_looked_up(spark, read(spark, d, "documents").where("lang = 'en'"))
-
-
-@query(_LOOKUP.replace(" WHERE lang = 'en'", ""))
-def token_lookup_all(spark, d):
-    """Documents of any language or none."""
     return _documents_looked_up(spark, read(spark, d, "documents"))
 
 
@@ -131,7 +125,8 @@ def segmentation_fingerprint(spark, d):
     return g.select("conv_id", F.concat(F.lit("seg"), F.size("x").cast("string"), F.lit("-"), F.left(F.sha1(said.cast("binary")), F.lit(10))).alias("mark"))
 
 
-@query()
+@query("""WITH t AS (SELECT user_id, event_id / 7.0::DOUBLE AS s, event_id / 7.0::DOUBLE + value AS e, event_type AS p FROM events)
+SELECT user_id, 'seg' || count(*) || '-' || left(sha1(string_agg(p || ':' || printf('%.2f', s) || ':' || printf('%.2f', e), ';' ORDER BY s, e, p)), 10) AS mark FROM t GROUP BY user_id""")
 def segmentation_keys(spark, d):
     """With two decimals, as stored fingerprints have them."""
     t = read(spark, d, "events").select("user_id", F.struct((F.col("event_id") / 7.0).alias("start"), (F.col("event_id") / 7.0 + F.col("value")).alias("end"), F.col("event_type").alias("speaker")).alias("x"))
@@ -139,7 +134,7 @@ def segmentation_keys(spark, d):
 
 
 _PAIR = r"""b AS (SELECT item_id, regexp_extract_all(text, '\S+') AS a FROM benchmark),
-p AS (SELECT x.item_id AS ref, y.item_id AS hyp, x.a AS r, y.a AS h FROM b x JOIN b y ON y.item_id = x.item_id + 1 AND len(x.a) <= 30 AND len(y.a) <= 30)"""
+p AS (SELECT x.item_id AS ref, y.item_id AS hyp, x.a AS r, y.a AS h FROM b x JOIN b y ON y.item_id = x.item_id + 1)"""
 
 
 @query(rf"""WITH RECURSIVE {_PAIR},
@@ -148,13 +143,6 @@ dp(ref, hyp, r, h, i, row) AS (SELECT ref, hyp, r, h, 0, range(0, len(h) + 1) FR
    [least(row[j + 1] + 1, row[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END)])), lambda acc, x: list_concat(acc, [least(x[1], acc[len(acc)] + 1)]))) FROM dp WHERE i < len(r))
 SELECT ref, hyp, len(r)::BIGINT AS n_ref, row[len(h) + 1]::BIGINT AS errors, round(row[len(h) + 1] / len(r)::DOUBLE, 9) AS wer FROM dp WHERE i = len(r)""")
 def token_edit_distance(spark, d):
-    """Items of up to 30 words, as in its SQL."""
-    return _neighbour_errors(_benchmark_words(spark, d).where(F.size("w") <= 30))
-
-
-@query()
-def token_edit_distance_all(spark, d):
-    """Items of any length, without SQL."""
     return _neighbour_errors(_benchmark_words(spark, d))
 
 
@@ -207,18 +195,18 @@ def cp_error(spark, d):
 
 @query(rf"""WITH t AS (SELECT doc_id, {WORDS.format(c='text')} AS w, {WORDS.format(c="regexp_replace(text, '[#*$%&|<>]', '', 'g')")} AS v FROM documents),
 p AS (SELECT doc_id, w, v, unnest(range(1, len(w) + 1)) AS i FROM t WHERE len(w) = len(v))
-SELECT doc_id, count(*) AS n, sum((w[i] <> v[i])::INT)::BIGINT AS n_changed, sum((w[i] = lower(w[i]) AND v[i] <> w[i])::INT)::BIGINT AS n_lower FROM p GROUP BY doc_id""")
+SELECT t.doc_id, len(t.w) = len(t.v) AS comparable, count(i) AS n, coalesce(sum((p.w[i] <> p.v[i])::INT), 0)::BIGINT AS n_changed,
+  coalesce(sum((p.w[i] = lower(p.w[i]) AND p.v[i] <> p.w[i])::INT), 0)::BIGINT AS n_lower FROM t LEFT JOIN p USING (doc_id) GROUP BY ALL""")
 def edit_attribution(spark, d):
     doc = read(spark, d, "documents")
     w, v = tx.tokens(F.col("text")), tx.tokens(F.regexp_replace("text", r"[#*$%&|<>]", ""))
     b = doc.select("doc_id", w.alias("w"), v.alias("v"))
-    # an outer explode does not have its condition pushed into the split
-    zipped = F.when(F.size("w") == F.size("v"), F.arrays_zip("w", "v"))
-    p = b.select("doc_id", F.explode_outer(zipped).alias("x")).where("x is not null")
-    changed = F.col("x.w") != F.col("x.v")
-    return p.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum(changed.cast("long")).alias("n_changed"), F.sum((changed & (F.col("x.w") == F.lower("x.w"))).cast("long")).alias("n_lower")
-    )
+    # words that signs alone made up are gone after the edit: then places do not compare, and the row says so
+    alike = F.size("w") == F.size("v")
+    p = b.select("doc_id", alike.alias("comparable"), F.when(alike, F.arrays_zip("w", "v")).otherwise(F.array().cast("array<struct<w:string,v:string>>")).alias("x"))
+    changed = F.filter("x", lambda x: x["w"] != x["v"])
+    size = lambda c: F.size(c).cast("long")
+    return p.select("doc_id", "comparable", size("x").alias("n"), size(changed).alias("n_changed"), size(F.filter(changed, lambda x: x["w"] == F.lower(x["w"]))).alias("n_lower"))
 
 
 @query()

@@ -122,3 +122,43 @@ def json_or_default(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+
+
+def reference(spark: SparkSession, rttm_path: str, json_path: str) -> DataFrame:
+    """Stored references: turns of RTTM files beside the texts and length of the clip's JSON. Clips that have
+    one of the two only raise."""
+    turns = rttm(spark, rttm_path).select("clip_id", "turn_idx", "speaker", "start", "end")
+    texts = spark.read.json(json_path, schema="clip_id string, duration double, texts array<string>", multiLine=True)
+    odd = turns.select("clip_id").distinct().join(texts.select("clip_id", F.lit(1).alias("n")), "clip_id", "full").where("n is null")
+    lone = odd.unionByName(texts.join(turns, "clip_id", "left_anti").select("clip_id", F.lit(None).cast("int").alias("n"))).limit(5).collect()
+    if lone:
+        raise ValueError(f"without turns or without texts: {', '.join(r['clip_id'] for r in lone)}")
+    return turns.join(texts, "clip_id").withColumn("text", F.get("texts", F.col("turn_idx").cast("int"))).drop("texts")
+
+
+def export(spark: SparkSession, index_path: str, clips_path: str, adopted: DataFrame | None = None) -> DataFrame:
+    """Documents of an export by its index (clip_id, n_turns). Raises where a document is missing or has
+    another number of turns than the index says; ``adopted`` (clip_id, note) fills notes that are absent."""
+    index = spark.read.json(index_path, schema="clip_id string, n_turns long")
+    docs = spark.read.json(clips_path, schema="clip_id string, note string, turns array<struct<speaker:string,start:double,end:double>>")
+    both = index.join(docs, "clip_id", "left")
+    odd = both.where("turns is null or size(turns) <> n_turns").limit(5).collect()
+    if odd:
+        raise ValueError(f"index and documents differ: {', '.join(r['clip_id'] for r in odd)}")
+    if adopted is None:
+        return both
+    a = adopted.select("clip_id", F.col("note").alias("__note"))
+    return both.join(a, "clip_id", "left").withColumn("note", F.coalesce("note", "__note")).drop("__note")
+
+
+def grid(systems: DataFrame, models: DataFrame, clips: DataFrame, transcripts: DataFrame, turns: DataFrame) -> DataFrame:
+    """system, model, clip_id that have both a transcript (system, clip_id) and turns (model, clip_id). The
+    three lists are small; what exists is looked up by semi joins."""
+    every = transcripts.join(systems, "system", "left_semi").join(clips, "clip_id", "left_semi").select("system", "clip_id").distinct()
+    found = turns.join(models, "model", "left_semi").select("model", "clip_id").distinct()
+    return every.join(found, "clip_id").select("system", "model", "clip_id")
+
+
+def by_clip(rows: DataFrame, key: str, name: str, *fields: str) -> DataFrame:
+    """key and a map from each row's name to its fields; a name that comes twice raises."""
+    return rows.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.struct(*fields).alias("row"))))).alias("rows"))

@@ -40,3 +40,26 @@ def clip_documents(regions: DataFrame, keys: list[str], order: list[str]) -> Dat
     fields = [c for c in regions.columns if c not in keys]
     row = F.struct(*order, *(c for c in fields if c not in order))
     return regions.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("document"))
+
+
+def adopt_rttm(turns: DataFrame, path: str, system: str, source: str) -> DataFrame:
+    """Turns of files from elsewhere, written as a system's own with a sidecar for each clip: status, numbers
+    of turns and speakers, the last end, and where they came from. Returns the sidecars."""
+    own = turns.withColumn("system", F.lit(system))
+    write_rttm(own, f"{path}/rttm")
+    side = own.groupBy("clip_id").agg(F.count("*").alias("n_turns"), F.countDistinct("speaker").alias("n_speakers_hyp"), F.max("end").alias("max_end"))
+    side = side.select(F.lit(system).alias("model"), "clip_id", F.lit("ok").alias("status"), F.lit(False).alias("oracle"), "n_turns", "n_speakers_hyp", "max_end", F.lit(source).alias("imported_from"))
+    side.write.mode("overwrite").json(f"{path}/sidecars")
+    return side.sparkSession.read.schema(side.schema).json(f"{path}/sidecars")
+
+
+def write_export(regions: DataFrame, scores: DataFrame, keys: list[str], order: list[str], path: str, disagreements: DataFrame) -> None:
+    """One JSON document for each key, an index of keys with their scores, and what the check of regions
+    against scores found wrong: nothing, or it raises before anything is written."""
+    wrong = disagreements.limit(5).collect()
+    if wrong:
+        raise ValueError(f"regions do not add up to the scores: {wrong}")
+    docs = clip_documents(regions, keys, order)
+    docs.write.mode("overwrite").json(f"{path}/clips")
+    index = scores.join(docs.select(*keys, F.length("document").alias("n_chars")), keys, "left")
+    index.withColumn("verified", F.lit(True)).write.mode("overwrite").json(f"{path}/index")
