@@ -411,6 +411,31 @@ def test_counts_and_cache(spark, awkward, empty, monkeypatch):
     assert get() == want and spark.read.parquet(cache).count() == stored  # nothing is encoded again
 
 
+def test_each_content_is_encoded_once(spark, tmp_path, monkeypatch):
+    """Repeated rows, copies and null ids: the encoder, which writes down what it is asked, sees a content once."""
+    log = str(tmp_path / "asked")
+
+    class Noting:
+        dtype = np.dtype("<u2")
+
+        def encode(self, texts):
+            with open(log, "a") as f:
+                f.writelines(f"{zlib.crc32(t.encode())}\n" for t in texts)
+            return [b"00" * len(t) for t in texts]
+
+    made = Noting()
+    monkeypatch.setattr(token_counts, "encoder", lambda path: made)
+    rows = [(i % 7 if i % 3 else None, f"text {i % 11}") for i in range(400)] + [(1, "the same")] * 50 + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cache = common.fresh_path(spark, "cache")
+    for _ in range(2):
+        out = token_counts.counted(df, JSON, cache)
+        assert out.count() == len(rows)
+    with open(log) as f:
+        asked = f.read().split()
+    assert len(asked) == len(set(asked)) == len({t or "" for _, t in rows})
+
+
 def test_counts_of_other_tokenizers(spark, awkward):
     import sentencepiece
 

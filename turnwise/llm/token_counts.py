@@ -56,7 +56,11 @@ def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        seen: set[bytes] = set()  # rows alike in doc_id and content meet in one task: each content is encoded once
         for b in batches:
+            digests = b.column(0).to_pylist()
+            fresh = [i for i, x in enumerate(digests) if x not in seen and not seen.add(x)]
+            b = b.take(pa.array(fresh, pa.int64()))
             texts = b.column(1).to_pylist()
             n = []
             for lo, hi in slices(texts):
