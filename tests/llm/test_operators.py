@@ -599,3 +599,24 @@ def test_pipeline_stages(spark):
     assert steps["byte_bpe"].count() == steps["mixing"].count()
     taken = mixing.taken(steps["near_dedup"]).where("size > 0").agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
     assert steps["mixing"].where("trim(text) <> ''").count() == taken
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path):
+    """Nulls, empty and long texts, repeated rows, null ids: every stage gives what its docstring says."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    out = p.run(spark, str(tmp_path / "some")).collect()
+    passed = quality.keep_clean(docs)
+    want = mixing.taken(near_dedup.one_of_each(passed)).collect()
+    size = {r["doc_id"]: (r["taken"] // r["size"]) if r["size"] else 0 for r in want}
+    got = {}
+    for r in out:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got and got == {k: n for k, n in size.items() if n}
+    assert all(len(r["ids_sha256"]) == len(r["decoded_sha256"]) == 64 for r in out)
+    assert p.run(spark, str(tmp_path / "none")).count() == 0

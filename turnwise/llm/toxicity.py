@@ -34,7 +34,7 @@ import pickle
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -239,44 +239,56 @@ def _machine(z: np.ndarray, y: np.ndarray, n: np.ndarray, cost: float = 4.0) ->
     return w
 
 
-def _telling(toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
+def _telling(toxic: Iterable[set[bytes]], clean: Iterable[set[bytes]]) -> set[bytes]:
     """What stands out in toxic texts: high log odds less a standard error, and a likelihood ratio that chance
     would reach for about one in ten such samples."""
-    bad, good = (Counter(w for words in docs for w in words) for docs in (toxic, clean))
+    (bad, n_bad), (good, n_good) = map(_counted, (toxic, clean))
     looked_at = {w: k for w, k in bad.items() if k > 2}
     enough = 2 * np.log(10 * max(1, len(looked_at)))
-    share = len(toxic) / max(1, len(toxic) + len(clean))
+    share = n_bad / max(1, n_bad + n_good)
     out = set()
     for w, k in looked_at.items():
         n = k + (other := good[w])
-        odds = np.log((k + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(clean) + 1))
+        odds = np.log((k + 0.5) / (n_bad + 1)) - np.log((other + 0.5) / (n_good + 1))
         ratio = k * np.log(k / (n * share)) + (other * np.log(other / (n * (1 - share))) if other else 0.0)
         if odds - np.sqrt(1 / (k + 0.5) + 1 / (other + 0.5)) > STANDS_OUT and 2 * ratio > enough:
             out.add(w)
     return out
 
 
+def _counted(docs: Iterable[set[bytes]]) -> tuple[Counter, int]:
+    """In how many of docs each thing is, and their number; docs may be made as they are counted."""
+    counts: Counter = Counter()
+    n = 0
+    for words in docs:
+        counts.update(words)
+        n += 1
+    return counts, n
+
+
 def fit(texts: list[str], toxic: list[bool]) -> Model:
     if all(toxic) or not any(toxic):
         return NEVER
     of_doc: list[set[bytes]] = [set() for _ in texts]
+    known: dict[bytes, bytes] = {}  # one object for each unit
     for lo, hi in slices(texts, 500_000):
         letters, starts, doc = units(texts[lo:hi])
         raw, ends = letters.tobytes(), np.append(starts[1:], len(letters)).tolist()
         for s, e, d in zip(starts.tolist(), ends, doc.tolist()):
             if e - s > 4:
-                of_doc[lo + d].add(raw[s:e])
+                w = raw[s:e]
+                of_doc[lo + d].add(known.setdefault(w, w))
     apart = np.array([not t and zlib.crc32(x.encode("utf-8", "surrogatepass")) % 4 == 0 for x, t in zip(texts, toxic)])
     unseen = [x for x, out in zip(texts, apart) if out]
-    of_doc, toxic = ([x for x, out in zip(of, apart) if not out] for of in (of_doc, toxic))
-    in_clean = [set(words) for words in {frozenset(words) for words, t in zip(of_doc, toxic) if not t}]
-    clean = sorted(set().union(*in_clean), key=hash_of)
+    of_doc, toxic = ([x for x, out in zip(of, apart) if not out] for of in (map(frozenset, of_doc), toxic))
+    in_clean = {words for words, t in zip(of_doc, toxic) if not t}
+    clean = sorted(set().union(*in_clean), key=lambda w: (hash_of(w), w))
     clean_words = set(clean)
-    in_toxic = [set(words) for words in {frozenset(words) for words, t in zip(of_doc, toxic) if t}]  # copies count once
+    in_toxic = {words for words, t in zip(of_doc, toxic) if t}  # copies count once
     # units that are telling as a whole, and those with a part of five letters that is telling in the other units
     whole = _telling(in_toxic, in_clean) - clean_words
     parts = lambda w: [w[i : i + 5] for i in range(max(1, len(w) - 4))]
-    in_parts = lambda docs: [{p for w in words - whole for p in parts(w)} for words in docs]
+    in_parts = lambda docs: ({p for w in words - whole for p in parts(w)} for words in docs)
     telling_parts = _telling(in_parts(in_toxic), in_parts(in_clean))
     picked: Counter = Counter()
     for words, t in zip(of_doc, toxic):
