@@ -208,3 +208,19 @@ def test_token_lookup_of_every_language(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(r"text rlike '\\S'")
     assert QUERIES["token_lookup"](spark, sf).count() == docs.count() > docs.where("lang = 'en'").count()
+
+
+def test_bootstrap_interval(spark):
+    """Counts are Poisson(1), rows are drawn alike however they are dealt, and the interval is that of the mean."""
+    import numpy as np
+
+    from turnwise.operators import metrics
+
+    k = metrics.poisson_counts(np.arange(2000), 500, 7)
+    assert abs(k.mean() - 1) < 0.01 and abs(k.var() - 1) < 0.02 and abs((k == 0).mean() - np.exp(-1)) < 0.005
+    x = np.random.default_rng(1).normal(3, 2, 1000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(None, 1.0), (5000, None)], "row long, d double")
+    one, two = (metrics.bootstrap(d, "d", 2000, 3).first() for d in (df.repartition(1), df.repartition(5)))
+    assert np.allclose(one, two) and one["n"] == 1000
+    error = x.std() / 1000**0.5
+    assert abs(one["low"] - (x.mean() - 1.96 * error)) < 0.3 * error and abs(one["high"] - (x.mean() + 1.96 * error)) < 0.3 * error

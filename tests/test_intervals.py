@@ -146,3 +146,19 @@ def test_alignment_is_least(a, b):
             row.append(min(best[y] + 1, row[y - 1] + 1, best[y - 1] + (w != v)))
         best = row
     assert s + d + i == distance(a, b) == best[-1]
+
+
+def test_time_bins_change_nothing(spark):
+    """Unions, depths and error regions by time bins of any width are those of one window for each clip."""
+    r = random.Random(12)
+    data = [(c, f"s{r.randrange(3)}", s, s + r.randrange(1, 40)) for c in ("a", "b") for s in (r.randrange(500) for _ in range(120))] + [("c", "s0", 0, 999)]
+    df = spark.createDataFrame(data, "clip string, speaker string, start long, end long")
+    hyp = df.withColumns({"start": F.col("start") + 3, "end": F.col("end") + 5})
+    for width in (7, 50, 10_000):
+        for f in (
+            lambda w: iv.union_intervals(df, ["clip", "speaker"], eps=0, width=w),
+            lambda w: iv.depth_series(df, ["clip"], width=w),
+            lambda w: iv.timeline(df, ["clip"], "speaker", 2, eps=0, width=w),
+            lambda w: iv.error_regions(df, hyp, ["clip"], width=w),
+        ):
+            assert rows(f(width)) == rows(f(None))

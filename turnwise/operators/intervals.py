@@ -27,16 +27,57 @@ def crop_counters(df: DataFrame, keys: list[str], hi: Column, start: str = "star
     )
 
 
-def _islands(df: DataFrame, part: list[str], order: list[str], start: str, end: str, gap: Column) -> DataFrame:
-    seen = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce((F.col(start) > F.max(end).over(seen) + gap).cast("int"), F.lit(1))
-    return df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(run)).drop("__new")
-
-
-def union_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
-    """Disjoint unions within keys, touching ones merged, with the number of rows in each."""
-    with_id = _islands(df, keys, [start, end], start, end, F.lit(eps))
+def _bins(rows: DataFrame, keys: list[str], at: str, width) -> DataFrame:
+    return rows.withColumn("__bin", F.floor(F.col(at) / F.lit(width)).cast("long"))
+
+
+def _with_bins(rows: DataFrame, keys: list[str], before: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """rows, which have __bin, with columns ``over`` the bins of their keys: of each bin one row goes through a
+    window, so that the rows of a key need not meet in one task. ``before`` are the bins' aggregates."""
+    n = [*keys, "__bin"]
+    bins = rows.groupBy(*n).agg(*(c.alias(k) for k, c in before.items()))
+    bins = bins.select(*(F.col(c).alias(f"__of_{c}") for c in n), *(c.alias(k) for k, c in over.items()))
+    return rows.join(bins, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in n]).drop(*(f"__of_{c}" for c in n))
+
+
+def _running(rows: DataFrame, keys: list[str], t: str, sums: list[str], width) -> DataFrame:
+    """rows (one for each keys and t) with ``until``, the next t of their keys, and running sums. With a width
+    they are dealt out by time bins of it, and a bin begins with the sums of those before."""
+    if width is None:
+        over = Window.partitionBy(*keys).orderBy(t)
+        upto = over.rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(*keys, t, F.lead(t).over(over).alias("until"), *(F.sum(c).over(upto).alias(c) for c in sums))
+    order = Window.partitionBy(*keys).orderBy("__bin")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    binned = _with_bins(
+        _bins(rows, keys, t, width), keys, {"__first": F.min(t), **{f"__{c}": F.sum(c) for c in sums}},
+        {"__next": F.lead("__first").over(order), **{f"__{c}": F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)) for c in sums}},
+    )
+    over = Window.partitionBy(*keys, "__bin").orderBy(t)
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    return binned.select(*keys, t, F.coalesce(F.lead(t).over(over), F.col("__next")).alias("until"), *((F.sum(c).over(upto) + F.col(f"__{c}")).alias(c) for c in sums))
+
+
+def _islands(df: DataFrame, part: list[str], order: list[str], start: str, end: str, gap: Column, width=None) -> DataFrame:
+    if width is None:
+        seen = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        run = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        new = F.coalesce((F.col(start) > F.max(end).over(seen) + gap).cast("int"), F.lit(1))
+        return df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(run)).drop("__new")
+    earlier = Window.partitionBy(*part).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*part, "__bin").orderBy(*order)
+    binned = _with_bins(_bins(df, part, start, width), part, {"__end": F.max(end)}, {"__reached": F.max("__end").over(earlier)})
+    reached = F.greatest(F.col("__reached"), F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.coalesce((F.col(start) > reached + gap).cast("int"), F.lit(1))
+    told = _with_bins(binned.withColumn("__new", new).drop("__reached"), part, {"__n": F.sum("__new")}, {"__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0))})
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    return told.withColumn("__island", F.col("__before") + F.sum("__new").over(upto)).drop("__new", "__before", "__bin")
+
+
+def union_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", eps: float | int = EPS, width=None) -> DataFrame:
+    """Disjoint unions within keys, touching ones merged, with the number of rows in each. With a width, rows of
+    one key are dealt out by time bins of it."""
+    with_id = _islands(df, keys, [start, end], start, end, F.lit(eps), width)
     return (
         with_id.groupBy(*keys, "__island")
         .agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"))
@@ -57,38 +98,35 @@ def merge_gaps(df: DataFrame, keys: list[str], label: str, gap: float | int, sta
     )
 
 
-def depth_series(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", weight: Column | None = None) -> DataFrame:
-    """keys, t, until, depth: how many intervals (or how much weight) hold on each elementary interval."""
+def depth_series(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", weight: Column | None = None, width=None) -> DataFrame:
+    """keys, t, until, depth: how many intervals (or how much weight) hold on each elementary interval. With a
+    width, edges of one key are dealt out by time bins of it."""
     w = weight if weight is not None else F.lit(1)
     ev = F.explode(F.array(F.struct(F.col(start).alias("t"), w.alias("d")), F.struct(F.col(end).alias("t"), (-w).alias("d"))))
-    deltas = df.select(*keys, ev.alias("x")).groupBy(*keys, "x.t").agg(F.sum("x.d").alias("d"))
-    over = Window.partitionBy(*keys).orderBy("t")
-    out = deltas.select(
-        *keys, "t", F.lead("t").over(over).alias("until"), F.sum("d").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("depth")
-    )
-    return out.where(F.col("until").isNotNull())
+    deltas = df.select(*keys, ev.alias("x")).groupBy(*keys, "x.t").agg(F.sum("x.d").alias("depth"))
+    return _running(deltas, keys, "t", ["depth"], width).where(F.col("until").isNotNull())
 
 
-def label_depth(df: DataFrame, keys: list[str], label: str, start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
+def label_depth(df: DataFrame, keys: list[str], label: str, start: str = "start", end: str = "end", eps: float | int = EPS, width=None) -> DataFrame:
     """Depth in distinct labels: a label's own overlaps count once."""
-    return depth_series(union_intervals(df, [*keys, label], start, end, eps), keys, start, end)
+    return depth_series(union_intervals(df, [*keys, label], start, end, eps, width), keys, start, end, None, width)
 
 
-def sweep(df: DataFrame, keys: list[str], label: str, start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
+def sweep(df: DataFrame, keys: list[str], label: str, start: str = "start", end: str = "end", eps: float | int = EPS, width=None) -> DataFrame:
     """Time under any label, under two or more, and summed over labels."""
     length = F.col("until") - F.col("t")
-    return label_depth(df, keys, label, start, end, eps).groupBy(*keys).agg(
+    return label_depth(df, keys, label, start, end, eps, width).groupBy(*keys).agg(
         F.sum(F.when(F.col("depth") >= 1, length).otherwise(0)).alias("union_len"),
         F.sum(F.when(F.col("depth") >= 2, length).otherwise(0)).alias("overlap_len"),
         F.sum(F.col("depth") * length).alias("label_len"),
     )
 
 
-def timeline(df: DataFrame, keys: list[str], label: str, low: int, high: int | None = None, start: str = "start", end: str = "end", eps: float | int = EPS) -> DataFrame:
+def timeline(df: DataFrame, keys: list[str], label: str, low: int, high: int | None = None, start: str = "start", end: str = "end", eps: float | int = EPS, width=None) -> DataFrame:
     """Stretches where from low to high labels hold, neighbours joined."""
-    d = label_depth(df, keys, label, start, end, eps)
+    d = label_depth(df, keys, label, start, end, eps, width)
     kept = d.where((F.col("depth") >= low) & (F.lit(True) if high is None else F.col("depth") <= high))
-    return union_intervals(kept.select(*keys, F.col("t").alias(start), F.col("until").alias(end)), keys, start, end, eps).drop("n_merged")
+    return union_intervals(kept.select(*keys, F.col("t").alias(start), F.col("until").alias(end)), keys, start, end, eps, width).drop("n_merged")
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, start: str = "start", end: str = "end", left_as: str = "l", right_as: str = "r") -> DataFrame:
@@ -192,7 +230,7 @@ def active_at(points: DataFrame, turns: DataFrame, keys: list[str], width, at: s
     return p.join(t, on, "left").groupBy(*keys, at).agg(F.array_sort(F.collect_set("__label")).alias("labels"))
 
 
-def error_regions(ref: DataFrame, hyp: DataFrame, keys: list[str], label: str = "speaker", start: str = "start", end: str = "end") -> DataFrame:
+def error_regions(ref: DataFrame, hyp: DataFrame, keys: list[str], label: str = "speaker", start: str = "start", end: str = "end", width=None) -> DataFrame:
     """Elementary intervals with multisets of labels on both sides, as miss, false alarm, confusion and
     correct counts. Labels of hyp are already mapped to those of ref. Depths come from running sums by label."""
     both = ref.select(*keys, label, start, end, F.lit(1).alias("r"), F.lit(0).alias("h")).unionByName(
@@ -200,16 +238,12 @@ def error_regions(ref: DataFrame, hyp: DataFrame, keys: list[str], label: str =
     )
     ev = F.explode(F.array(F.struct(F.col(start).alias("t"), F.col("r"), F.col("h")), F.struct(F.col(end).alias("t"), (-F.col("r")).alias("r"), (-F.col("h")).alias("h"))))
     deltas = both.select(*keys, label, ev.alias("x")).groupBy(*keys, label, "x.t").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
-    run = Window.partitionBy(*keys, label).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    nxt = Window.partitionBy(*keys, label).orderBy("t")
-    per_label = deltas.select(*keys, label, "t", F.lead("t").over(nxt).alias("until"), F.sum("r").over(run).alias("r"), F.sum("h").over(run).alias("h")).where("until is not null")
+    per_label = _running(deltas, [*keys, label], "t", ["r", "h"], width).where("until is not null")
     # each label's stretch changes the clip's totals at its edges
     parts = {"n_ref": F.col("r"), "n_hyp": F.col("h"), "n_both": F.least("r", "h")}
     at = lambda c, sign: F.struct(F.col(c).alias("t"), *((v * sign).alias(k) for k, v in parts.items()))
     total = per_label.select(*keys, F.explode(F.array(at("t", 1), at("until", -1))).alias("x")).groupBy(*keys, "x.t").agg(*(F.sum(f"x.{k}").alias(k) for k in parts))
-    over = Window.partitionBy(*keys).orderBy("t")
-    upto = over.rowsBetween(Window.unboundedPreceding, 0)
-    d = total.select(*keys, "t", F.lead("t").over(over).alias("until"), *(F.sum(k).over(upto).alias(k) for k in parts)).where("until is not null")
+    d = _running(total, keys, "t", list(parts), width).where("until is not null")
     n_ref, n_hyp, ok = F.col("n_ref"), F.col("n_hyp"), F.col("n_both")
     return d.select(
         *keys, "t", "until",

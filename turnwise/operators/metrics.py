@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,24 +86,46 @@ def correlation(a: str, b: str) -> Column:
     return F.when(ok, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def bootstrap(df: DataFrame, delta: str, draws: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean and percentile interval of the mean under resampling, without a join.
-
-    Each row goes into each draw as often as a Poisson(1) count of the hash of (row, draw) says, so the
-    draws are sums over one pass, partially aggregated; ``row`` numbers stay with their rows.
-    """
-    cut, p, acc = [], 0.36787944117144233, 0.0
+def _poisson_table() -> np.ndarray:
+    """Poisson(1) counts by their distribution's place in 2^16."""
+    p, acc, cuts = 0.36787944117144233, 0.0, []
     for k in range(8):
         acc += p
-        cut.append(acc)
+        cuts.append(acc)
         p /= k + 1
-    d = df.select(F.col("row"), F.col(delta).cast("double").alias("x")).where("x is not null")
-    u = F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    times = F.lit(0)
-    for k, c in enumerate(cut):
-        times = F.when(u >= c, k + 1).otherwise(times)
-    drawn = d.select("row", "x", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", "x", times.alias("k"))
-    means = drawn.groupBy("draw").agg((F.sum(F.col("x") * F.col("k")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
+    return np.searchsorted(cuts, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
+
+
+def poisson_counts(row: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each row goes into each draw: a Poisson(1) count by 16 bits of a hash of row, draw and seed."""
+    h = row.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    h = h + (np.arange(-(-draws // 4), dtype=np.uint64) + np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return _POISSON[h.view(np.uint16)[:, :draws]]
+
+
+_POISSON = _poisson_table()
+
+
+def bootstrap(df: DataFrame, delta: str, draws: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Mean and percentile interval of the mean under resampling of (row, delta), without a join: a task adds
+    its rows up for each draw and gives one row for each draw, whatever its input."""
+    d = df.select(F.col("row").cast("long").alias("row"), F.col(delta).cast("double").alias("x")).where("row is not null and x is not null")
+    step = max(1, 400_000 // draws)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(draws), np.zeros(draws)
+        for b in batches:
+            row, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at in range(0, len(row), step):
+                k = poisson_counts(row[at : at + step], draws, seed)
+                total += x[at : at + step] @ k
+                n += k.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total), pa.array(n.astype(np.int64))], ["draw", "total", "n"])
+
+    means = d.mapInArrow(run, "draw long, total double, n long").groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m"))
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # as many as draws
     at = lambda q: F.get("m", F.lit(int(q * draws)))
     whole = d.agg(F.avg("x").alias("mean"), F.count("*").alias("n"))

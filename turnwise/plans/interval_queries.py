@@ -8,11 +8,12 @@ from turnwise.operators import intervals as iv
 from turnwise.plans.registry import DEPTH, TURNS, UNIONS, event_turns, joined_timeline, query
 
 WIDTH = 600_000_000  # microseconds: about an event's length
+BIN = 86_400_000_000  # a day: by which the edges of one clip are dealt out
 
 
 @query(f"WITH {UNIONS} SELECT clip, speaker, s, e, n_merged FROM u")
 def event_union(spark, d):
-    u = iv.union_intervals(event_turns(spark, d), ["clip", "speaker"], eps=0)
+    u = iv.union_intervals(event_turns(spark, d), ["clip", "speaker"], eps=0, width=BIN)
     return u.select("clip", "speaker", F.col("start").alias("s"), F.col("end").alias("e"), "n_merged")
 
 
@@ -42,18 +43,18 @@ def merge_gap_runs(spark, d):
   sum(CASE WHEN depth >= 2 THEN until - t ELSE 0 END)::BIGINT AS overlap_len, sum(depth * (until - t))::BIGINT AS label_len
   FROM dep WHERE until IS NOT NULL GROUP BY clip""")
 def sweep_depth(spark, d):
-    return iv.sweep(event_turns(spark, d), ["clip"], "speaker", eps=0)
+    return iv.sweep(event_turns(spark, d), ["clip"], "speaker", eps=0, width=BIN)
 
 
 @query(f"WITH {joined_timeline('depth = 1')} SELECT clip, s, e FROM tl")
 def single_timeline(spark, d):
-    t = iv.timeline(event_turns(spark, d), ["clip"], "speaker", 1, 1, eps=0)
+    t = iv.timeline(event_turns(spark, d), ["clip"], "speaker", 1, 1, eps=0, width=BIN)
     return t.select("clip", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 @query(f"WITH {joined_timeline('depth >= 2')} SELECT clip, s, e FROM tl")
 def overlap_timeline(spark, d):
-    t = iv.timeline(event_turns(spark, d), ["clip"], "speaker", 2, eps=0)
+    t = iv.timeline(event_turns(spark, d), ["clip"], "speaker", 2, eps=0, width=BIN)
     return t.select("clip", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
@@ -166,7 +167,7 @@ reg AS (SELECT clip, t, lead(t) OVER (PARTITION BY clip ORDER BY t) AS until, gr
 
 def _regions(spark, d):
     t = event_turns(spark, d)
-    return iv.error_regions(t.where("idx % 2 = 0"), t.where("idx % 2 = 1"), ["clip"])
+    return iv.error_regions(t.where("idx % 2 = 0"), t.where("idx % 2 = 1"), ["clip"], width=BIN)
 
 
 @query(f"""WITH {_SIDES} SELECT clip, sum(miss * (until - t))::BIGINT AS miss, sum(fa * (until - t))::BIGINT AS fa, sum(confusion * (until - t))::BIGINT AS confusion,

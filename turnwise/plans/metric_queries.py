@@ -239,7 +239,7 @@ def crosstab_normalised(spark, d):
 @query()
 def bootstrap_delta(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_totalprice") - 250_000).alias("delta"))
-    return m.bootstrap(o, "delta", 400, 20260822)
+    return m.bootstrap(o, "delta", 10_000, 20260822)
 
 
 @query("""SELECT l.toxic, d.lang, count(*) AS n, round(avg((d.n_chars < 1000)::INT), 9) AS short_rate FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2""")
