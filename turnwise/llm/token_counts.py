@@ -74,5 +74,6 @@ def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> Da
     fresh = found.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
     fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = _cached(spark, cache, version)
+    # a table: behind an aggregate, a content with very many copies could not be dealt over tasks by the join
+    counts = written(_cached(spark, cache, version), "counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
