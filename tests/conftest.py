@@ -18,6 +18,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "3g")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.executorEnv.PYTHONPATH", root)
         .getOrCreate()
     )

@@ -11,10 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnwise.functions.align import assign
 from turnwise.operators import intervals as iv
 from turnwise.operators.fusion import optimal_mapping
+from turnwise.storage import written
 
 KEYS = ["model", "clip_id"]
 PARTS = ("miss", "fa", "confusion", "correct", "total")
@@ -63,7 +65,7 @@ def components(ref: DataFrame, hyp: DataFrame, keys: list[str], width, region: D
     parts = iv.error_regions(ref, iv.relabel(hyp, mapping, keys), keys)
     n = F.col("until") - F.col("t")
     named = {"total": "n_ref"}
-    return parts.groupBy(*keys).agg(*(F.sum(F.col(named.get(p, p)) * n).alias(p) for p in PARTS))
+    return written(parts.groupBy(*keys).agg(*(F.sum(F.col(named.get(p, p)) * n).alias(p) for p in PARTS)), "score-parts")
 
 
 def error_rate() -> Column:
@@ -79,7 +81,8 @@ def score_all(ref: DataFrame, hyp: DataFrame, whole: DataFrame, width, collar=0.
     spans = models.join(whole.select("clip_id", "start", "end"), "clip_id").select(*KEYS, "start", "end")
     ref = models.join(ref.select("clip_id", "speaker", "start", "end"), "clip_id").select(*KEYS, "speaker", "start", "end")
     one_label = [*KEYS, "speaker"]
-    r, h = (iv.union_intervals(iv.restrict(df.select(*KEYS, "speaker", "start", "end"), spans, KEYS, width), one_label).drop("n_merged") for df in (ref, hyp))
+    # each part reads these several times: written, the plan does not repeat what made them
+    r, h = (written(iv.union_intervals(iv.restrict(df.select(*KEYS, "speaker", "start", "end"), spans, KEYS, width), one_label).drop("n_merged"), "score-turns") for df in (ref, hyp))
     out = models.join(components(r, h, KEYS, width), KEYS, "left").na.fill(0, list(PARTS)).withColumn("der", error_rate())
     jer = jaccard_errors(overlap_matrix(r, h, KEYS, width), _time(r, KEYS), _time(h, KEYS), KEYS)
     count = lambda df, name: df.groupBy(*KEYS).agg(F.countDistinct("speaker").alias(name))
@@ -119,7 +122,7 @@ def residual(regions: DataFrame, roles: DataFrame, keys: list[str], counts: list
     return both.select(*keys, *(F.greatest(F.col(c) - F.coalesce(f"__{c}", F.lit(0)), F.lit(0)).alias(c) for c in counts))
 
 
-#: ranking -> (column, whether a condition picks rows first)
+#: ranking, which is a column, and the rows that it is for
 RANKINGS = {
     "der": None, "jer": None, "confusion": None, "miss": None, "fa": None,
     "overlap_der": "overlap_total > 0", "abs_count_error": None, "error_share": None,
@@ -138,20 +141,13 @@ def enriched(scores: DataFrame) -> DataFrame:
 
 
 def worst(scores: DataFrame, n: int = 20) -> DataFrame:
-    """ranking, rank, model, clip_id, value: the n worst rows by each of RANKINGS; absent values come last."""
-    from pyspark.sql.window import Window
-
+    """ranking, rank, model, clip_id, value: the n worst rows by each of RANKINGS; absent values come last. One
+    pass over the scores; each task passes on its n worst of a ranking only."""
     e = enriched(scores)
-    parts = []
-    for name, only in RANKINGS.items():
-        top = (e.where(only) if only else e).select(F.lit(name).alias("ranking"), *KEYS, F.col(name).cast("double").alias("value"))
-        top = top.orderBy(F.col("value").desc_nulls_last(), *KEYS).limit(n)
-        rank = F.row_number().over(Window.partitionBy("ranking").orderBy(F.col("value").desc_nulls_last(), *KEYS))
-        parts.append(top.withColumn("rank", rank))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("ranking", "rank", *KEYS, "value")
+    entry = lambda name, only: F.when(F.expr(only or "true"), F.struct(F.lit(name).alias("ranking"), F.col(name).cast("double").alias("value")))
+    rows = e.select(*KEYS, F.explode(F.array(*(entry(k, v) for k, v in RANKINGS.items()))).alias("x")).where("x is not null")
+    rank = F.row_number().over(Window.partitionBy("ranking").orderBy(F.col("value").desc_nulls_last(), *KEYS))
+    return rows.select("x.ranking", "x.value", *KEYS).withColumn("rank", rank).where(F.col("rank") <= n).select("ranking", "rank", *KEYS, "value")
 
 
 def composition(scores: DataFrame) -> DataFrame:

@@ -29,23 +29,27 @@ HYP = [
 TURN = "clip_id string, speaker string, start double, end double"
 
 
-def _scores(spark):
-    ref, hyp = inline(spark, TURN, REF), inline(spark, f"model string, {TURN}", HYP)
-    return scoring.score_all(ref, hyp, inline(spark, "clip_id string, start double, end double", [("c1", 0.0, 30.0)]), WIDTH)
-
-
-@query(values(
+SCORES = (
     "model VARCHAR, clip_id VARCHAR, miss DOUBLE, fa DOUBLE, confusion DOUBLE, correct DOUBLE, total DOUBLE, der DOUBLE, jer DOUBLE, n_ref BIGINT, n_hyp BIGINT, "
     "count_error BIGINT, count_correct INT, lenient_miss DOUBLE, lenient_fa DOUBLE, lenient_confusion DOUBLE, lenient_correct DOUBLE, lenient_total DOUBLE, "
-    "lenient_der DOUBLE, overlap_der DOUBLE, overlap_total DOUBLE, single_der DOUBLE, single_total DOUBLE",
-    [
-        ("m1", "c1", 0, 0, 0, 30, 30, 0, 0, 2, 2, 0, 1, 0, 0, 0, 18.5, 18.5, 0, 0, 10, 0, 20),
-        ("m2", "c1", 13, 0, 2, 15, 30, 0.5, 0.659090909, 2, 1, -1, 0, 7.5, 0, 1.75, 9.25, 18.5, 0.5, 0.5, 10, 0.5, 20),
-        ("m3", "c1", 5, 5, 5, 20, 30, 0.5, 0.666666667, 2, 1, -1, 0, 0, 4.5, 4.5, 14, 18.5, 0.486486486, 0.5, 10, 0.25, 20),
-    ],
-))
+    "lenient_der DOUBLE, overlap_der DOUBLE, overlap_total DOUBLE, single_der DOUBLE, single_total DOUBLE"
+)
+#: What they score.
+SCORED = [
+    ("m1", "c1", 0.0, 0.0, 0.0, 30.0, 30.0, 0.0, 0.0, 2, 2, 0, 1, 0.0, 0.0, 0.0, 18.5, 18.5, 0.0, 0.0, 10.0, 0.0, 20.0),
+    ("m2", "c1", 13.0, 0.0, 2.0, 15.0, 30.0, 0.5, 0.659090909, 2, 1, -1, 0, 7.5, 0.0, 1.75, 9.25, 18.5, 0.5, 0.5, 10.0, 0.5, 20.0),
+    ("m3", "c1", 5.0, 5.0, 5.0, 20.0, 30.0, 0.5, 0.666666667, 2, 1, -1, 0, 0.0, 4.5, 4.5, 14.0, 18.5, 0.486486486, 0.5, 10.0, 0.25, 20.0),
+]
+
+
+@query(values(SCORES, SCORED))
 def score_all(spark, d):
-    return rounded(_scores(spark))
+    ref, hyp = inline(spark, TURN, REF), inline(spark, f"model string, {TURN}", HYP)
+    return rounded(scoring.score_all(ref, hyp, inline(spark, "clip_id string, start double, end double", [("c1", 0.0, 30.0)]), WIDTH))
+
+
+def _scores(spark):
+    return inline(spark, SCORES.replace("VARCHAR", "string"), SCORED)
 
 
 @query(values("ranking VARCHAR, rank INT, model VARCHAR, clip_id VARCHAR, value DOUBLE", [
