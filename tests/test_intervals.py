@@ -77,6 +77,19 @@ def test_interval_join_finds_each_pair_once_in_any_bin_width(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_pairs_with_empty_intervals_inside_others(spark):
+    """Empty ones, one at another's edge, equal empty ones, one that ends before it starts, and one without an end."""
+    data = some(40, 4) + [("c0", "p0", 40 + i, t, t) for i, t in enumerate((0, 7, 7, 20, 33, 60))] + [("c0", "p0", 50, 30, 26), ("c1", "p1", 51, 3, None)]
+    pair = lambda a, b: a[:1] == b[:1] and None not in (a[4], b[4]) and a[3] < b[4] and b[3] < a[4] and (a[3], a[4], a[2]) < (b[3], b[4], b[2])
+    want = sorted((a[2], b[2], min(a[4], b[4]) - b[3]) for a in data for b in data if pair(a, b))
+    assert any(a >= 40 or b >= 40 for a, b, _ in want)
+    for width in (1, 4, 1000):
+        got = iv.overlap_pairs(frame(spark, data), ["clip"], "idx", width, empty=True).select("l.idx", F.col("r.idx").alias("r"), "shared")
+        assert sorted(map(tuple, got.collect())) == want
+        lasting = iv.overlap_pairs(frame(spark, data), ["clip"], "idx", width).select("l.idx", F.col("r.idx").alias("r"), "shared")
+        assert sorted(map(tuple, lasting.collect())) == [x for x in want if x[2] > 0]
+
+
 def test_assignment_ties_gaps_and_no_turns(spark):
     words = spark.createDataFrame([("c", 0, 0, 4), ("c", 1, 20, 22), ("d", 2, 0, 1), ("c", 3, 6, 6)], "clip string, word_idx long, start long, end long")
     turns = spark.createDataFrame([("c", 0, "a", 0, 2), ("c", 1, "b", 2, 4), ("c", 2, "e", 10, 17)], "clip string, turn_idx long, speaker string, start long, end long")

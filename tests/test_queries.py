@@ -38,6 +38,19 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(same(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["interval_overlap_pairs", "self_overlap_count"])
+def test_turns_without_length(spark, tmp_path, name):
+    """A turn of no length within, at the start, at the end and outside of another of its speaker."""
+    values = [(i, f"2024-01-01 00:{m:02}:00", 10 * i + 1, "view", v) for i, (m, v) in enumerate([(1, 300.0), (2, 0.0), (1, 0.0), (6, 0.0), (9, 0.0), (5, 90.0), (2, 0.0)])]
+    con = duckdb.connect()
+    rows = ", ".join(map(str, values))
+    con.sql(f"CREATE TABLE events AS SELECT event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

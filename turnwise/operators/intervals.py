@@ -129,17 +129,21 @@ def timeline(df: DataFrame, keys: list[str], label: str, low: int, high: int | N
     return union_intervals(kept.select(*keys, F.col("t").alias(start), F.col("until").alias(end)), keys, start, end, eps, width).drop("n_merged")
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, start: str = "start", end: str = "end", left_as: str = "l", right_as: str = "r") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, start: str = "start", end: str = "end", left_as: str = "l", right_as: str = "r", empty: bool = False) -> DataFrame:
     """Pairs that overlap, as structs l and r with ``shared``: an equi-join on keys and time bins.
 
     An interval goes to each bin that it touches; a pair is kept in the bin where the later one starts,
-    so it comes out once. A bin of about an interval's length keeps both copies and pairs few.
+    so it comes out once. A bin of about an interval's length keeps both copies and pairs few. Intervals
+    that do not end after their start are left out, unless ``empty``: then they are paired with those that
+    begin before their start and last beyond it, as start < other end and other start < end say.
     """
 
     def binned(df: DataFrame, name: str) -> DataFrame:
-        first, last = (F.floor(F.col(c) / F.lit(width)).cast("long") for c in (start, end))
+        last = F.greatest(F.col(start), F.col(end))  # the bin of its start, for one that ends before it
+        first, last = (F.floor(c / F.lit(width)).cast("long") for c in (F.col(start), last))
         row = F.struct(*(df[c] for c in df.columns)).alias(name)
-        return df.where(F.col(start) < F.col(end)).select(*(F.col(k).alias(f"{name}_{k}") for k in keys), row, F.explode(F.sequence(first, last)).alias(f"{name}_bin"))
+        kept = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()) if empty else df.where(F.col(start) < F.col(end))
+        return kept.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), row, F.explode(F.sequence(first, last)).alias(f"{name}_bin"))
 
     a, b = binned(left, left_as), binned(right, right_as)
     on = [F.col(f"{left_as}_{k}") == F.col(f"{right_as}_{k}") for k in keys]
@@ -149,9 +153,10 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, sta
     return a.join(b, on).where(F.col(f"{left_as}_bin") == later).select(left_as, right_as, (F.least(le, re_) - F.greatest(ls, rs)).alias("shared"))
 
 
-def overlap_pairs(df: DataFrame, keys: list[str], idx: str, width, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping pairs within keys, the one that begins first (then ends first, then idx) as l."""
-    pairs = interval_join(df, df, keys, width, start, end)
+def overlap_pairs(df: DataFrame, keys: list[str], idx: str, width, start: str = "start", end: str = "end", empty: bool = False) -> DataFrame:
+    """Overlapping pairs within keys, the one that begins first (then ends first, then idx) as l; with
+    ``empty`` also those of an empty interval and one that it lies in, which share nothing."""
+    pairs = interval_join(df, df, keys, width, start, end, empty=empty)
     order = lambda x: F.struct(F.col(f"{x}.{start}"), F.col(f"{x}.{end}"), F.col(f"{x}.{idx}"))
     return pairs.where(order("l") < order("r"))
 
