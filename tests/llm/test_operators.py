@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -620,3 +621,33 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path):
     assert got and got == {k: n for k, n in size.items() if n}
     assert all(len(r["ids_sha256"]) == len(r["decoded_sha256"]) == 64 for r in out)
     assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def _workers(spark) -> list[int]:
+    """MB of each Python worker."""
+    import os
+
+    root = int(spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid())
+    of = {int(p): open(f"/proc/{p}/stat").read().rsplit(")", 1)[1].split() for p in os.listdir("/proc") if p.isdigit()}
+    inside = lambda p: p == root or p in of and inside(int(of[p][1]))
+    return sorted(int(of[p][21]) * os.sysconf("SC_PAGESIZE") >> 20 for p in of if p != root and inside(p))
+
+
+def test_workers_give_back_the_memory_of_a_fit(spark):
+    """A worker is used again and waits in a pool, so what a task has freed must not stay with it."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    data = [(i, " ".join(word() for _ in range(250)) + " vexatrix" * (i % 4 == 0), int(i % 4 == 0)) for i in range(2400)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, toxic int").repartition(4).cache()
+    rows.mapInArrow(lambda batches: batches, rows.schema).count()
+    before = _workers(spark)
+    toxicity.trained(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    rows.unpersist()
+    after = _workers(spark)
+    assert after[-1] < before[-1] + 60, (before, after)
+
+
+def test_a_child_process_returns_or_fails():
+    assert pickle.loads(toxicity._by_child(len, "abc")) == 3
+    with pytest.raises(RuntimeError):
+        toxicity._by_child(len, 3)

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_batches, text_of
+from turnwise.llm.common import bounded_batches, lean, text_of
 from turnwise.llm.encoder import PATTERN, SHORT, distinct, is_plain, latin, mixed_bits, piece_keys, plain_pieces, slices
 
 CHUNK = 1_000_000  # characters
@@ -215,6 +215,7 @@ def chunked(docs: DataFrame, pattern: str) -> DataFrame:
     their numbers, null for a long one, whose bytes are in long_words; anew: numbering begins at 0."""
     keys = docs.schema["__key"].dataType
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(pattern)
         for b in batches:
@@ -272,6 +273,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
         "anew",
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pieces, texts = _table(path)
         pool, size = [], []  # of the words by number: ids one after the other, and how many

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_batches, text_of, written
+from turnwise.llm.common import bounded_batches, lean, text_of, written
 from turnwise.llm.components import components
 from turnwise.llm.encoder import SHORT
 from turnwise.llm.encoder import mixed_bits as _mix
@@ -162,6 +162,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, tkey, n_shingles, digest of the set, band hashes, for each row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digest, bands = [], [], []
@@ -177,6 +178,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [np.frombuffer(r.as_buffer(), np.int64) for r in b.column(1)]
@@ -268,6 +270,7 @@ def _sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int) -> Dat
     rows = _keyed(docs)
     found = rows.join(c.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(c["c_doc"]) & (rows["tkey"] == c["c_key"]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows alike in doc_id and text meet in one task
         for b in batches:

@@ -30,6 +30,7 @@ as toxic; of texts that share a doc_id one is learned from, by a hash; null labe
 from __future__ import annotations
 
 import functools
+import multiprocessing
 import pickle
 import unicodedata
 import zlib
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_batches, crc_mod, text_of
+from turnwise.llm.common import bounded_batches, crc_mod, lean, text_of
 from turnwise.llm.encoder import slices
 
 TRAIN, TRAIN_CLEAN = 800, 3000
@@ -331,6 +332,24 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     return Model(model.table, model.bias, float(rise) / margin, min(limit + margin, alone))
 
 
+def _by_child(f, *args) -> bytes:
+    """What f returns, pickled, from a child process: a fit leaves its many small objects' memory in pieces,
+    which a worker that is used again would keep."""
+    fork = multiprocessing.get_context("fork")
+    receive, send = fork.Pipe(duplex=False)
+    child = fork.Process(target=lambda: send.send_bytes(pickle.dumps(f(*args))), daemon=True)
+    child.start()
+    send.close()
+    try:
+        return receive.recv_bytes()
+    except EOFError:
+        child.join()
+        raise RuntimeError(f"the child process ended with {child.exitcode}") from None
+    finally:
+        receive.close()
+        child.join()
+
+
 def hash_of(word: bytes) -> int:
     return zlib.crc32(word)
 
@@ -350,10 +369,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     # of texts that share a doc_id one, so that the bound holds
     rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        model = fit([t for _, t, _ in got], [y == 1 for _, _, y in got])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        model = _by_child(fit, [t for _, t, _ in got], [y == 1 for _, _, y in got])
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     # the bounded sample is one task's; the driver gets a table of 2^20 numbers
     one = rows.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
@@ -367,6 +387,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^20 numbers
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
