@@ -651,3 +651,51 @@ def test_a_child_process_returns_or_fails():
     assert pickle.loads(toxicity._by_child(len, "abc")) == 3
     with pytest.raises(RuntimeError):
         toxicity._by_child(len, 3)
+
+
+def _awkward_links(seed: int) -> list[tuple]:
+    """Chains, stars, rings and random links, repeated, reversed and from a node to itself, with negative ids."""
+    r = random.Random(seed)
+    ids = list({r.randrange(-(2**62), 2**62) for _ in range(900)})
+    r.shuffle(ids)
+    got = [(ids[i], ids[i + 1]) for i in range(0, 200)]
+    got += [(ids[300], ids[i]) for i in range(301, 400)] + [(ids[499], ids[i]) for i in range(400, 499)]
+    got += [(ids[500 + i], ids[500 + (i + 1) % 60]) for i in range(60)]
+    got += [(r.choice(ids[600:]), r.choice(ids[600:])) for _ in range(150)]
+    got += [(v, u) for u, v in r.sample(got, 80)] + [(ids[7], ids[7])] + r.sample(got, 50)
+    r.shuffle(got)
+    return got
+
+
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = _awkward_links(5)
+    up = {x: x for p in links for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in links:
+        a, b = sorted((root(u), root(v)))
+        up[b] = a
+    want = {x: root(x) for x in up if root(x) != x}
+    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()
+    assert len(got) == len(want) and {x["node"]: x["component"] for x in got} == want
+    assert components.components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
+def test_few_links_take_few_stages(spark):
+    """The driver keeps record of each stage and task: rounds over a long chain had some hundreds."""
+    sc = spark.sparkContext
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    sc.setJobGroup("few-links", "components")
+    try:
+        assert components.components(chain).where("component = 0").count() == 300
+        jobs = sc.statusTracker().getJobIdsForGroup("few-links")
+        assert sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs) <= 15
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
