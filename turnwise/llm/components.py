@@ -22,7 +22,7 @@ from turnwise.llm.common import lean, written
 
 
 SALT = 16
-#: Links that one task puts together, in some 60 MB.
+#: Links that one task puts together, in some 60 MB beside the links.
 FEW = 500_000
 
 
